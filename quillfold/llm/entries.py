@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe_digests
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
@@ -46,6 +47,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
