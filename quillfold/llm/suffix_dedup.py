@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._blobs import joined, lengths, mixed, pack, table, unpack
 from ._runtime import partitions, prepare, text_bytes, text_of
@@ -320,7 +321,15 @@ def _repeats(rows: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(names, pa.int64())} | {c: pa.array(v, pa.binary()) for c, v in zip(("doc", "place", "reach"), parts, strict=True)})
 
 
-def _cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Of UTF-8, the bytes of those characters all of whose bytes are marked."""
+    lead = (data & 0xC0) != 0x80
+    if not len(data):
+        return gone
+    return np.minimum.reduceat(gone, np.flatnonzero(lead))[np.cumsum(lead) - 1]
+
+
+def _cut(rows: pa.Table, spans: pa.Table, characters: bool) -> pa.Table:
     """Step 5."""
     batch = Batch(rows)
     doc, place = (joined(spans.column(c).to_pylist(), 4).astype(np.int64) for c in ("doc", "place"))
@@ -330,6 +339,8 @@ def _cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
     np.add.at(change, at - reach[:, 0], 1)
     np.add.at(change, at + reach[:, 1], -1)
     gone = np.cumsum(change[:-1]) > 0
+    if characters:
+        gone = whole_characters(batch.data, gone)
     kept_data = batch.data[~gone].tobytes()
     kept_ends = np.append(0, np.cumsum(~gone))[batch.ends] if len(batch.ends) else batch.ends
     first = gone.copy()
@@ -346,35 +357,38 @@ def _cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
     base = batch.starts[owner]
     spans_ = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - base, pa.int64()), pa.array(stops - base, pa.int64())], names=["start", "stop"]))
     kept = [kept_data[a:b] for a, b in zip([0, *kept_ends[:-1].tolist()], kept_ends.tolist(), strict=False)]
-    ids = rows.column("doc_id").combine_chunks().take(pa.array(batch.order, pa.int64()))
-    hashes = rows.column("text_hash").combine_chunks().take(pa.array(batch.order, pa.int64()))
-    return pa.table({"doc_id": ids, "text_hash": hashes, "n_bytes": pa.array(batch.ends - batch.starts, pa.int64()), "spans": spans_, "kept": pa.array(kept, pa.binary())})
+    same = rows.select(["row"]).combine_chunks().take(pa.array(batch.order, pa.int64()))
+    return pa.table({"row": same.column("row"), "n_bytes": pa.array(batch.ends - batch.starts, pa.int64()), "spans": spans_, "kept": pa.array(kept, pa.binary())})
+
 
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, characters: bool = False, batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """row, n_bytes, spans (start and stop of removed bytes) and kept (the other bytes) for every row of ``docs``.
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, text_hash, n_bytes, spans (start and stop of removed bytes) and kept (the other bytes) for every row.
+    ``row`` is a struct of the columns ``keep`` (the id alone, if not given). With ``characters`` a character
+    goes only if all its bytes do, so kept is UTF-8 again.
 
     Null text counts as empty. Ids are integers; "earlier" is by (id, start), and a null id comes after all
     others. Rows that repeat an id and text are one document given twice and have equal results; their
-    windows are no earlier than their own. Texts of under 100 bytes keep all. Other columns are ignored.
-    text_hash (xxhash64 of the text) tells rows of one id apart.
+    windows are no earlier than their own. Texts of under 100 bytes keep all. Columns not named are ignored.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
+    keep = [id_col] if keep is None else keep
     total = text_bytes(docs, text_col)
     batches = max(1, -(-total // batch_bytes))
     buckets = max(1, min(1 << 24, max(partitions(spark), -(-total // bucket_bytes))))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    rows = rows.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"),
-        "doc_id",
-        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"),
-        F.xxhash64("text").alias("text_hash"),
-        "text",
+    number = F.col(id_col).cast("long")
+    rows = docs.select(
+        F.pmod(F.xxhash64(number), F.lit(batches)).alias("batch"),
+        F.coalesce(number, F.lit((1 << 63) - 1)).alias("rank"),
+        F.struct(*keep).alias("row"),
+        text_of(text_col).cast("binary").alias("text"),
     )
     by_batch = rows.groupBy("batch")
     requests = by_batch.applyInArrow(lambda t: _requests(t, buckets), "batch long, bucket long, hashes binary, contexts binary")
     answers = requests.groupBy("bucket").applyInArrow(_answers, "batch long, single binary, several binary")
     firsts = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(lambda t, a: _first_places(t, a, buckets), FIRSTS)
     spans = firsts.groupBy("bucket").applyInArrow(_repeats, SPAN)
-    return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(_cut, "doc_id long, text_hash long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    schema = T.StructType([T.StructField("row", docs.select(keep).schema)] + T.StructType.fromDDL("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary").fields)
+    return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(lambda t, s: _cut(t, s, characters), schema)
