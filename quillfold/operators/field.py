@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillfold.functions.hashing import blake2b_hex
 from quillfold.operators.enrich import in_range
+from quillfold.schema import INT64_MAX
 
 FIX = 1 << 16
 WARRANT = 1
@@ -151,18 +152,17 @@ class Sweep:
     threshold: int
 
 
-def _checked(value: np.ndarray, bound: float) -> np.ndarray:
-    """Raises if the same value in floating point comes near 64 bits."""
-    if bound >= 2.0**62:
+def _checked(bound: float) -> None:
+    """Refuses if magnitudes may leave 64 bits, by a bound in floating point."""
+    if bound >= 2.0**63 * (1 - 2.0**-40):
         raise FieldRefused("field_overflow")
-    return value
 
 
 def sweep(load: np.ndarray, capacity: np.ndarray, baseline: np.ndarray, warrants: np.ndarray, dev: np.ndarray, c: Coefficients = Coefficients()) -> Sweep:
     """Red-black relaxation of (segments, classes, slots) arrays. Buckets of a colour don't see each other, so a pass is a map.
 
-    A bucket with a warrant stays as it is. Magnitudes are bounded before each pass; what could pass 2^62 is
-    refused, a little earlier than exact overflow would be.
+    A bucket with a warrant stays as it is. Sums are bounded before each pass, and the last product is checked
+    exactly; overflow refuses.
     """
     dev = np.array(dev, np.int64)
     shape = dev.shape
@@ -175,24 +175,26 @@ def sweep(load: np.ndarray, capacity: np.ndarray, baseline: np.ndarray, warrants
     diag[:, :, :-1] += c.k_slot
     size = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
     bound = size(np.asarray(load)) + size(np.asarray(capacity)) + size(np.asarray(baseline))
-    _checked(dev, bound)
+    _checked(bound)
     source = np.asarray(load, np.int64) - np.asarray(capacity, np.int64) - np.asarray(baseline, np.int64)
     dirty = np.zeros(shape, bool)
     moved_max = dev_inf = threshold = 0
     for n in range(1, c.max_iters + 1):
         moved_max = 0
         for colour in range(2):
-            _checked(dev, c.omega * (bound * c.den + size(dev) * (4 * (c.k_cls + c.k_slot) + c.decay)))
+            _checked(bound * c.den + size(dev) * (4 * (c.k_cls + c.k_slot) + c.decay))
             pull = np.zeros(shape, np.int64)
             pull[:, 1:] += c.k_cls * (dev[:, :-1] - dev[:, 1:])
             pull[:, :-1] += c.k_cls * (dev[:, 1:] - dev[:, :-1])
             pull[:, :, 1:] += c.k_slot * (dev[:, :, :-1] - dev[:, :, 1:])
             pull[:, :, :-1] += c.k_slot * (dev[:, :, 1:] - dev[:, :, :-1])
-            num = c.omega * (source * c.den + pull - c.decay * dev)
+            now = free & (place == colour)
+            rest = np.where(now, source * c.den + pull - c.decay * dev, 0)
+            if int(np.abs(rest).max(initial=0)) * c.omega > INT64_MAX:
+                raise FieldRefused("field_overflow")
+            num = c.omega * rest
             step = np.sign(num) * (np.abs(num) // (c.den * diag))
-            step[~(free & (place == colour))] = 0
             dev += step
-            now = free & (place == colour)
             dirty[now] = step[now] != 0
             moved_max = max(moved_max, int(np.abs(step).max(initial=0)))
         dev_inf = int(np.abs(dev).max(initial=0))

@@ -13,8 +13,8 @@ STATES = {"open": 0, "held": 1, "dispatched": 2, "escalated": 3, "closed": 4}
 FLAGS = {"warrant": 1, "exogenous": 2, "blocked": 4, "shadow": 8, "explore": 16, "content": 32, "dirty": 64, "pinned": 128}
 VERBS = {"hold": 0, "act": 1, "work": 2, "fetch": 3, "escalate": 4}
 CONSTRAINT_COLUMNS = ("id", "opened_ns", "due_ns", "blocked_by", "pos_last", "src_pos_last", "pos_judged", "amount_minor", "cls", "seg", "seat", "state", "flags", "verb", "gear", "now_ns")
-REFUSALS = ("unknown_class", "id_collision", "stale_source", "reversibility_mismatch", "no_inverse", "constraint_violated", "quorum_insufficient", "license_exceeded", "pin_mismatch", "stale_judgment", "unknown_cell", "no_quorum")
-FAULTS = ("not_leader", "rate_limited", "too_large", "malformed", "duplicate_request", "stale_basis", "io")
+REFUSALS = ("constraint_violated", "quorum_insufficient", "license_exceeded", "pin_mismatch", "no_inverse", "stale_source", "stale_judgment", "reversibility_mismatch", "id_collision", "unknown_cell", "unknown_class", "not_authored_by_seam")
+FAULTS = ("malformed", "not_leader", "no_quorum", "rate_limited", "duplicate_request", "stale_basis", "too_large")
 SCAN_REASONS = (
     "no_prev_field", "bad_tail_width", "bad_prev", "no_h_field", "bad_h", "bad_row_end", "order_pos", "bad_pos", "order_term", "bad_term", "order_t_epoch_ns", "bad_t_epoch_ns",
     "order_k", "bad_k", "order_cell", "bad_cell", "order_cls", "bad_cls", "order_by", "bad_by", "order_body", "bad_body", "trailing_after_body", "hash_mismatch",
