@@ -8,9 +8,11 @@
    leader, up to ``LEADERS``. So a group of near copies gives about as many pairs as members. A key that
    is frequent in a batch goes to salted groups, and the batch's smallest member to the common one as well.
 4. Pairs are confirmed on full sets; components follow from the confirmed links.
-5. Second round: keys whose members are still in several components are taken whole. Members of different components
-   are compared by signature, the largest component in blocks, and all pairs that may reach the threshold are
-   confirmed. What the first round left out, by leaders or salts, is made good here.
+5. Second round: keys whose members are still in several components are opened. Their members are gathered by the
+   key's largest component, each once, with its full set, and dealt to blocks; those outside that component go to
+   every block as queries. Where a query shares a key with a member of another component and the estimate may reach the
+   threshold, the sets decide at once, best estimates first, until the two components are linked. So whatever the
+   first round left out, by leaders or salts, is made good here, and no pairs leave a task but links.
 
 Pairs inside a component need no further look: they can't change it. A pair at 0.75 shares none of the 32 keys
 with a probability of 5e-6, and its estimate falls short of the threshold by 0.2 with one of 1e-5.
@@ -42,7 +44,7 @@ LEADERS = 64
 #: A key is frequent in a batch from so many members on; then it goes to one of so many groups.
 FREQUENT, SALTS = 64, 64
 #: Members of a block in the second round.
-BLOCK = 20_000
+BLOCK = 2_000
 
 _rng = np.random.default_rng(1997)
 _MUL = (_rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -187,21 +189,41 @@ def _led(rows: pa.Table, least: float, leaders: int) -> pa.Table:
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
-def _across(rows: pa.Table, least: float) -> pa.Table:
-    """Second round: pairs of different components in a block of a key."""
-    of, ids, bits = rows.column("component").to_numpy(), rows.column("rep").to_numpy(), signatures(rows.column("signature").to_pylist())
-    chief = rows.column("chief").to_numpy(zero_copy_only=False)
-    query = np.flatnonzero(~chief)  # against all, the largest component being only answered
-    pairs = []
-    step = max(1, 4_000_000 // max(1, len(ids)))
-    for at in range(0, len(query), step):
-        q = query[at : at + step]
-        near = (estimates(bits[q][:, None], bits[None]) >= least) & (of[q][:, None] != of[None])
-        x, y = np.nonzero(near)
-        x, y = ids[q[x]], ids[y]
-        pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+def _across(rows: pa.Table, least: float, percent: int) -> pa.Table:
+    """Second round: links between components in a block. Queries stand in every block, others in one."""
+    order = np.lexsort((rows.column("rep").to_numpy(), rows.column("own").to_numpy(zero_copy_only=False)))
+    rows = rows.take(pa.array(order))
+    ids, of = rows.column("rep").to_numpy(), rows.column("component").to_numpy()
+    own, query = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("own", "query"))
+    bits = signatures(rows.column("signature").to_pylist())
+    keys = unpack(b"".join(rows.column("keys").to_pylist())).reshape(-1, BANDS)
+    sets = rows.column("set")
+    links = []
+    answer = np.flatnonzero(own)
+    for q in np.flatnonzero(query).tolist():
+        guess = estimates(bits[q], bits[answer])
+        near = (guess >= least) & (of[answer] != of[q])
+        near[near] &= (keys[answer[near]] == keys[q]).any(axis=1)
+        near[near] &= ~query[answer[near]] | (ids[answer[near]] > ids[q])  # a pair of queries once
+        found = answer[near][np.argsort(-guess[near], kind="stable")]
+        if not len(found):
+            continue
+        one = unpack(sets[q].as_py())
+        while len(found):
+            part, found = found[:32], found[32:]
+            others = [unpack(sets[i].as_py()) for i in part.tolist()]
+            sizes = np.array([len(x) for x in others])
+            hits = _among(np.concatenate(others), one)
+            both = np.add.reduceat(hits.astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+            linked = part[100 * both >= percent * (len(one) + sizes - both)]
+            links += [(min(ids[q], ids[i]), max(ids[q], ids[i])) for i in linked.tolist()]
+            found = found[~np.isin(of[found], of[linked])]
+    return pa.table({"a": pa.array([int(x[0]) for x in links], pa.int64()), "b": pa.array([int(x[1]) for x in links], pa.int64())})
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values
 
 
 def _confirmed(rows: pa.Table, percent: int) -> pa.Table:
@@ -261,32 +283,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("keys"), i * 8 + 1, F.lit(8)))
     keyed = placed.select("rep", "component", F.explode(split).alias("key"))
     opened = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    members = checkpointed(keyed.join(opened, "key"))
+    members = keyed.join(opened, "key")
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    chief = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top")).select("key", F.col("top.component").alias("chief"), (F.floor(F.col("top.n") / block) + 1).cast("int").alias("blocks"))
-    signed = members.join(chief, "key").join(reps.select("rep", "signature"), "rep")
-    is_chief = F.col("component") == F.col("chief")
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own_block = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocks = signed.select("key", "rep", "component", "signature", is_chief.alias("chief"), F.explode(F.when(is_chief, own_block).otherwise(all_blocks)).alias("block"))
-    parts = max(partitions(spark), groups)
-    by_part = blocks.withColumn("part", F.pmod(F.xxhash64("key", "block"), F.lit(parts)))
-    more = by_part.groupBy("part").applyInArrow(lambda t: _across_all(t, least), "a long, b long")
-    again = confirm(more, texts, percent)
+    chiefs = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("chief"))
+    gathered = checkpointed(members.join(chiefs, "key").select("chief", "rep", "component").distinct())
+    sets = texts.join(gathered.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set binary")
+    blocks = gathered.groupBy("chief").agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("blocks"))
+    full = gathered.join(blocks, "chief").join(reps, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    query = F.col("component") != F.col("chief")
+    home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = full.withColumns({"query": query, "home": home})
+    dealt = dealt.withColumn("block", F.explode(F.when(query, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
+    dealt = dealt.select("chief", "block", "rep", "component", "signature", "keys", "set", "query", (F.col("home") == F.col("block")).alias("own"))
+    again = checkpointed(dealt.groupBy("chief", "block").applyInArrow(lambda t: _across(t, least, percent), "a long, b long"))
     if not again.isEmpty():
         found = components(links.union(again))
     classes = classes.select("digest", "rep")
     ids = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return ids.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _across_all(rows: pa.Table, least: float) -> pa.Table:
-    """The blocks of keys in one part, each apart from the others."""
-    rows = rows.sort_by([("key", "ascending"), ("block", "ascending")])
-    keys = np.frombuffer(b"".join(rows.column("key").to_pylist()), "<u8")
-    block = rows.column("block").to_numpy()
-    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])))
-    ends = np.append(starts[1:], len(keys))
-    tables = [_across(rows.slice(a, b - a), least) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return pa.concat_tables(tables)
