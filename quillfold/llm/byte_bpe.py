@@ -26,6 +26,8 @@ from ._vocab import Kept, packed, rank_encoding
 
 CHUNK = 8192
 OVERLAP = 256
+#: Characters behind a pre-token's end that decide about it: a mark may begin a contraction of three.
+AHEAD = 3
 
 
 class ChunkedPattern:
@@ -34,10 +36,10 @@ class ChunkedPattern:
         self.chunk, self.overlap = chunk, overlap
 
     def one_chunk(self, text: str, start: int, stop: int) -> tuple[list[str], list[int]]:
-        """Pre-tokens from ``start`` and where each ends; one that touches ``stop`` is left out, unless the text ends there."""
+        """Pre-tokens from ``start`` and where each ends; those that what follows ``stop`` might change are left out."""
         tokens = self.findall(text[start:stop])
         ends = list(accumulate(map(len, tokens), initial=start))[1:]
-        if stop < len(text) and ends and ends[-1] >= stop:
+        while stop < len(text) and ends and ends[-1] > stop - AHEAD:
             tokens.pop()
             ends.pop()
         return tokens, ends
