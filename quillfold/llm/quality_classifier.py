@@ -13,6 +13,7 @@ of their id. Everything fitted has a fixed size; every document is scored by its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -31,11 +32,14 @@ SAMPLE, SAMPLE_TEXT = 4000, 1 << 17
 #: Most words with vectors of their own, by frequency in the sample; the rest share hashed rows.
 VOCABULARY, HASHED = 30_000, 4096
 DIMENSION, NONZERO, NEAR = 64, 6, 2
-HIDDEN, EPOCHS, RATE, DECAY = 32, 80, 0.01, 1e-4
+HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 3e-3
+#: Standardised inputs are kept within so many deviations, so what the sample lacks can't decide alone.
+REACH = 4.0
 #: One in so many rows of the sample fits the temperature.
 CALIBRATION = 4
 THRESHOLD = 0.3
 
+AGAIN = "mark:again"
 _tokens = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+").findall
 
 
@@ -46,8 +50,12 @@ def _shape(token: str) -> str:
 
 
 def features(text: str) -> list[str]:
-    """The text's tokens in lower case, each followed by its shape."""
-    return [x for t in _tokens(text) for x in (t.lower(), _shape(t))]
+    """The text's tokens in lower case, each followed by its shape, and by ``AGAIN`` if it is the one before once more."""
+    found, before = [], None
+    for t in _tokens(text):
+        found += (t.lower(), _shape(t)) if t != before else (t.lower(), _shape(t), AGAIN)
+        before = t
+    return found
 
 
 def fold(id_col: str | Column, folds: int = FOLDS) -> Column:
@@ -116,7 +124,8 @@ def pooled(texts: Iterator[str], vectors: np.ndarray, rows: tuple[Kept, Kept]) -
     out = []
     for text in texts:
         tokens = _tokens(text)
-        ids = np.concatenate([np.fromiter(map(r.__getitem__, tokens), np.int64, len(tokens)) for r in rows])
+        again = sum(map(eq, tokens, tokens[1:]))
+        ids = np.concatenate([*(np.fromiter(map(r.__getitem__, tokens), np.int64, len(tokens)) for r in rows), np.full(again, rows[0][AGAIN])])
         total = np.zeros(DIMENSION + 1)
         if len(ids):
             times = np.bincount(ids, minlength=len(vectors)) if len(ids) > len(vectors) // 8 else None
@@ -130,12 +139,16 @@ def pooled(texts: Iterator[str], vectors: np.ndarray, rows: tuple[Kept, Kept]) -
     return np.array(out).reshape(-1, DIMENSION + 1)
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -REACH, REACH)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 def logits(model: Model, x: np.ndarray) -> np.ndarray:
-    hidden = np.tanh((x - model.mean) / model.scale @ model.w1 + model.b1)
+    hidden = np.tanh(standard(x, model.mean, model.scale) @ model.w1 + model.b1)
     return hidden @ model.w2 + model.b2
 
 
@@ -165,7 +178,7 @@ def _network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, n
 
 def _temperature(z: np.ndarray, y: np.ndarray) -> float:
     """The one of a grid that makes the labels likeliest."""
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 81))
+    grid = np.exp(np.linspace(0, np.log(16), 81))
     loss = [np.mean(np.logaddexp(0, np.where(y > 0, -z, z) / t)) for t in grid]
     return float(grid[int(np.argmin(loss))])
 
@@ -181,8 +194,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
     held = np.arange(len(y)) % CALIBRATION == CALIBRATION - 1
     if len(set(y[~held].tolist())) < 2:
         return blank
-    mean, scale = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-3
-    w1, b1, w2, b2 = _network((x[~held] - mean) / scale, y[~held])
+    mean, scale = x[~held].mean(axis=0), x[~held].std(axis=0)
+    scale = scale + 0.5 * scale.mean() + 1e-3
+    w1, b1, w2, b2 = _network(standard(x[~held], mean, scale), y[~held])
     model = Model(words, vectors, mean, scale, w1, b1, w2, b2, 1.0)
     return model._replace(temperature=_temperature(logits(model, x[held]), y[held])) if held.any() else model
 
