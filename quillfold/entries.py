@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillfold.functions.convert import cents, epoch_ns, minor_units, state_of, timestamp_ns
 from quillfold.functions.expr import compile_text
+from quillfold.functions.hashing import cell_id_column
 from quillfold.functions.jsonlines import json_string
 from quillfold.operators import admit, designed, enrich, field, grades, ordered, state
 from quillfold.operators.enrich import EnrichedColumn, IngestDef, SideJoin
@@ -489,5 +490,19 @@ def json_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(json_string(F.col("text"))).alias("literal_md5"), F.regexp_replace(F.base64(F.substring("text", 1, 50).cast("binary")), r"\r\n", "").alias("head_b64"))
 
 
+@query("SELECT count(DISTINCT (event_type, user_id)) AS n_cells, count(*) AS n FROM events")
+def cell_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell ids by hash: as many as there are keys."""
+    e = table(spark, sf_dir, "events")
+    ids = e.select(cell_id_column(F.lit("events"), F.col("event_type"), F.col("user_id").cast("string")).alias("cell"))
+    return ids.agg(F.count_distinct("cell").alias("n_cells"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.ref') AS ref, length(props) AS n FROM events")
+def props_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of a body's text."""
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.ref").alias("ref"), F.length("props").cast("long").alias("n"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_sum(spark, sf_dir)

@@ -230,3 +230,10 @@ def projection_digest(lattice: DataFrame, dims: Dims) -> str:
     rows = dense(lattice, dims).orderBy("seg", "cls", "slot").collect()
     numbers = [dims.segments, dims.classes, dims.slots, dims.slot_ns, *[r["load"] for r in rows], *[r["count"] for r in rows]]
     return blake2b_hex(b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in numbers))
+
+
+def full_digest(lattice: DataFrame, swept_: DataFrame, dims: Dims) -> str:
+    """The identity of the projection, deviations, baselines and warrants; marks of the last sweep aren't part of it."""
+    rows = dense(lattice, dims).join(swept_.select("seg", "cls", "slot", "dev", (F.col("pressure") - F.col("dev")).alias("baseline")), ["seg", "cls", "slot"]).orderBy("seg", "cls", "slot").collect()
+    numbers = [r[c] for c in ("dev", "baseline", "warrants") for r in rows]
+    return blake2b_hex(projection_digest(lattice, dims).encode() + b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in numbers))

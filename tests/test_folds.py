@@ -11,7 +11,11 @@ from quillfold.operators.ordered import coalesced_refusals, token_bucket
 from quillfold.operators.rules import ClassDef, RevRule
 from quillfold.operators.transactor import Config, Fact, Request, Transactor
 from quillfold.operators.rules import ClassMap
+from quillfold.functions.convert import epoch_ns, minor_units
+from quillfold.plans import snapshot
 from quillfold.plans.views import Ledger
+from quillfold.sources.csv_files import read_csv, write_csv
+from quillfold.streaming.sink import transacted
 from quillfold.sources.writer import LedgerWriter
 from quillfold.streaming.tape_stream import CellsFold, follow
 
@@ -138,6 +142,36 @@ def test_replay_incremental_and_redelivery_agree(spark, tmp_path):
     assert kept == {c["id"]: (c["amount_minor"], c["pos_last"]) for c in t.cells.values()}
 
 
+def test_snapshot_and_tail_give_the_whole(spark, tmp_path):
+    r = random.Random(5)
+    t = transactor(tmp_path / "led")
+    for i in range(40):
+        t.write(Request("c", str(i), [fact(str(r.randrange(5)), r.randrange(1000), r.randrange(1, 60))]))
+    ledger = Ledger(spark, str(tmp_path / "led"))
+    digest = snapshot.take(ledger, 9, str(tmp_path / "snap"))
+    assert digest == ledger.digest(9)[0]
+    cells = snapshot.resume(spark, str(tmp_path / "led"), str(tmp_path / "snap"))
+    assert ledger.verify_fold(cells) and not ledger.verify_fold(cells.where("cell > 0").limit(1))
+    spark.createDataFrame([(9, "0" * 64, 1)], "pos long, digest string, n long").write.mode("overwrite").parquet(str(tmp_path / "snap" / "mark"))
+    with pytest.raises(snapshot.SnapshotBroken):
+        snapshot.resume(spark, str(tmp_path / "led"), str(tmp_path / "snap"))
+
+
+def test_csv_and_sink(spark, tmp_path):
+    rows = [("a", 'quote " and, comma', "58.90"), ("b", "", ""), ("c", "x", "1.234"), ("d", "y", "-1.5")]
+    write_csv(spark.createDataFrame(rows, "k string, t string, money string").coalesce(1), str(tmp_path / "csv"))
+    back = read_csv(spark, str(tmp_path / "csv"), ["k", "t", "money"], "seq")
+    assert [tuple(x) for x in back.orderBy("seq").select("k", "t", "money").collect()] == rows
+    assert [x[0] for x in back.orderBy("seq").select(minor_units(F.col("money"))).collect()] == [5890, 0, None, -150]
+    assert spark.range(1).select(epoch_ns(F.lit("2017-10-02 10:56:33")), epoch_ns(F.lit("")), epoch_ns(F.lit("2017-10-02"))).first()[:] == (1506941793000000000, 0, None)
+    t = transactor(tmp_path / "led")
+    kind = "array<struct<source:string,table:string,key:string,op:string,source_pos:long,cls:int,amount_minor:long,has_inverse:boolean>>"
+    batch = spark.createDataFrame([(i, "c", str(i % 3), "seat:a", "tx", 0, None, [("s", "orders", "k", "update", i + 1, 1, 10, True)]) for i in range(5)], f"seq long, client_id string, request_id string, by string, kind string, basis_pos long, declared_reversibility string, facts {kind}")
+    transacted(t)(batch, 0)
+    transacted(t)(batch, 0)
+    assert len(t.replies) == 3 and t.faults["duplicate_request"] == 7 and len(t.cells) == 1
+
+
 def sequential_sweep(load, warrants, dev, c):
     s, k, t = load.shape
     dev = dev.astype(object).copy()
