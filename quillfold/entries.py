@@ -498,10 +498,10 @@ def cell_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.agg(F.count_distinct("cell").alias("n_cells"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.ref') AS ref, length(props) AS n FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, length(props) AS n FROM events")
 def props_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of a body's text."""
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.ref").alias("ref"), F.length("props").cast("long").alias("n"))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.length("props").cast("long").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
