@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.functions.hashing import pin
@@ -184,16 +184,28 @@ def disagreements(one: DataFrame, other: DataFrame, key: str, columns: Sequence[
     return left.join(right, F.col("k1") == F.col("k2"), "full").where(F.col("k1").isNull() | F.col("k2").isNull() | ~same).select(F.coalesce("k1", "k2").alias(key))
 
 
+#: Ranges of values that places are counted in; one row for each is windowed whole.
+RANGES = 4096
+
+
 def nearest_rank(df: DataFrame, value: str, percents: Sequence[float]) -> DataFrame:
-    """percent, value: the element at place floor(p (n - 1) + 0.5) of the sorted values.
+    """percent, value: the element at place floor(p (n - 1) + 0.5) of the sorted values (longs).
 
-    Counting by distinct value first leaves one row for each value to rank.
+    Values are counted, and the counts added up inside ranges of values; where a range begins follows from one
+    row for each range. So no task sees all values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    low, high, total = counts.agg(F.min("_v"), F.max("_v"), F.sum("_n")).first()
     spark = df.sparkSession
-    total = counts.agg(F.sum("n")).first()[0] or 0
     wanted = spark.createDataFrame([(float(p), int(p * (total - 1) + 0.5)) for p in percents] if total else [], "percent double, place long")
-    from pyspark.sql import Window
-
-    ranked = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
-    return ranked.join(F.broadcast(wanted), (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))).select("percent", F.col(value).alias("value"))
+    width = (high - low) // RANGES + 1 if total else 1
+    ranged = counts.withColumn("_range", F.call_function("div", F.col("_v") - F.lit(low or 0), F.lit(width)))
+    starts = ranged.groupBy("_range").agg(F.sum("_n").alias("_all"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_range", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"), "_all")
+    # As many rows as there are percents, and each meets one range.
+    hit = starts.join(F.broadcast(wanted), (F.col("place") >= F.col("_start")) & (F.col("place") < F.col("_start") + F.col("_all")))
+    inside = Window.partitionBy("_range").orderBy("_v")
+    placed = ranged.withColumn("_upto", F.sum("_n").over(inside))
+    found = placed.join(F.broadcast(hit), "_range").withColumn("_end", F.col("_start") + F.col("_upto"))
+    return found.where((F.col("place") < F.col("_end")) & (F.col("place") >= F.col("_end") - F.col("_n"))).select("percent", F.col("_v").alias("value"))
