@@ -52,15 +52,19 @@ GRADED = "seq long, pos long, cell long, cls long, verb int, source int, horizon
 
 
 def decisions(log: DataFrame, horizons: Mapping[int, Horizons], seq_block: int = 1_000_000, ns_block: int = 3_600_000_000_000) -> DataFrame:
-    """A row for each verb of the log (schema LOG) with its verdict; a class without horizons has its verbs end at once."""
+    """A row for each verb of the log (schema LOG) with its verdict; a class without horizons has its verbs end at once.
+
+    Two intermediate tables stay cached until ``spark.catalog.clearCache()`` or the session's end.
+    """
     horizon = F.col("at_ns")
     for cls, h in horizons.items():
         horizon = F.when(F.col("cls") == cls, h.of(F.col("verb"), F.col("at_ns"), F.col("due_ns"))).otherwise(horizon)
     clock = running_max(log, "seq", F.when(F.col("k") != "human", F.col("at_ns")), "now_ns", seq_block)
-    clock = running_last(clock, "seq", F.when(F.col("k") == "human", F.col("verb")), "human_verb", seq_block)
+    # Read several times below: cached, and computed anew from its lineage where an executor is lost.
+    clock = running_last(clock, "seq", F.when(F.col("k") == "human", F.col("verb")), "human_verb", seq_block).persist()
     ticks = clock.where("k = 'tick'").select(F.col("seq").alias("tick_seq"), F.col("now_ns").alias("tick_now"))
     verbs = clock.where("k = 'verb'").withColumn("horizon_ns", horizon)
-    verbs = next_above(verbs, "seq", ticks, "tick_seq", "tick_seq", "_after", seq_block)
+    verbs = next_above(verbs, "seq", ticks, "tick_seq", "tick_seq", "_after", seq_block).persist()
     verbs = next_above(verbs, "horizon_ns", ticks, "tick_now", "tick_seq", "_past", ns_block)
     # Both are ticks and time is monotone along them, so the later one meets both conditions.
     verbs = verbs.withColumn("tick_seq", F.when(F.col("_after").isNotNull() & F.col("_past").isNotNull(), F.greatest("_after", "_past")))
@@ -68,7 +72,7 @@ def decisions(log: DataFrame, horizons: Mapping[int, Horizons], seq_block: int =
     rest = clock.where("k in ('fact', 'judgment')")
     columns = [*(c.split()[0] for c in LOG.split(", ")), "human_verb", "horizon_ns", "tick_seq", "tick_at"]
     rows = verbs.unionByName(rest, allowMissingColumns=True).select(columns)
-    return ordered_fold(rows, ["cell"], ["seq"], lambda row: [], _step, _finish, GRADED)
+    return ordered_fold(rows, ["cell"], ["seq"], lambda row: _Open(), _step, _finish, GRADED)
 
 
 def _row(d: dict, verdict: str, at: int) -> tuple:
@@ -106,16 +110,49 @@ def _by_fact(d: dict, row: dict) -> str | None:
     return None
 
 
-def _step(open_: list, row: dict) -> tuple[list, list[tuple]]:
-    out, left = [], []
+class _Open:
+    """A cell's open decisions; those whose tick is past go when the lists are looked at or have doubled."""
+
+    def __init__(self):
+        self.fetch: list[dict] = []
+        self.rest: list[dict] = []
+        self.limit = 64
+
+
+def _expired(open_: list[dict], seq: int, out: list[tuple]) -> list[dict]:
+    left = []
     for d in open_:
-        if d["tick_seq"] is not None and d["tick_seq"] < row["seq"]:
+        if d["tick_seq"] is not None and d["tick_seq"] < seq:
             out.append(_ticked(d))
-            continue
+        else:
+            left.append(d)
+    return left
+
+
+def _step(state: _Open, row: dict) -> tuple[_Open, list[tuple]]:
+    out: list[tuple] = []
+    kind = row["k"]
+    if kind == "verb":
+        (state.fetch if row["verb"] == FETCH else state.rest).append(row)
+        if len(state.fetch) + len(state.rest) > state.limit:
+            state.fetch, state.rest = (_expired(x, row["seq"], out) for x in (state.fetch, state.rest))
+            state.limit = 2 * (len(state.fetch) + len(state.rest)) + 64
+        return state, out
+    if kind == "fact":
+        left = []
+        for d in _expired(state.rest, row["seq"], out):
+            verdict = _by_fact(d, row)
+            if verdict:
+                out.append(_row(d, verdict, row["at_ns"]))
+            else:
+                left.append(d)
+        state.rest = left
+    left = []
+    for d in _expired(state.fetch, row["seq"], out):
         verdict = None
-        if row["k"] == "fact":
+        if kind == "fact":
             verdict = _by_fact(d, row)
-        elif row["k"] == "judgment" and d["verb"] == FETCH:
+        else:
             d["margin"] = row["crossed"]
             if row["at_ns"] <= d["horizon_ns"]:
                 verdict = "right" if row["crossed"] and not row["cap_hit"] else "wrong"
@@ -123,13 +160,12 @@ def _step(open_: list, row: dict) -> tuple[list, list[tuple]]:
             out.append(_row(d, verdict, row["at_ns"]))
         else:
             left.append(d)
-    if row["k"] == "verb":
-        left.append(row)
-    return left, out
+    state.fetch = left
+    return state, out
 
 
-def _finish(open_: list) -> list[tuple]:
-    return [_ticked(d) for d in open_]
+def _finish(state: _Open) -> list[tuple]:
+    return [_ticked(d) for d in (*state.fetch, *state.rest)]
 
 
 def tallies(graded: DataFrame, by: Sequence[str] = ("cls", "verb")) -> DataFrame:
@@ -145,11 +181,12 @@ def ungradable_fraction(graded: DataFrame) -> DataFrame:
 
 def calibration(graded: DataFrame, verbs: Sequence[int], floor: int, ceiling: float, canary: int = 2, canary_verb: int = ACT) -> DataFrame:
     """cls, calibrated, reason: every verb has ``floor`` grades (else the first that hasn't is named), so have canary acts alone, and few are ungradable."""
-    of = tallies(graded)
-    per = of.groupBy("cls").agg(*[F.sum(F.when(F.col("verb") == v, F.col("n_graded")).otherwise(0)).alias(f"v{v}") for v in verbs])
     outcome = F.col("verdict").isin("right", "wrong", "reversed_late")
-    trial = graded.groupBy("cls").agg(F.count_if((F.col("source") == canary) & (F.col("verb") == canary_verb) & outcome).alias("canary"))
-    rows = per.join(trial, "cls").join(ungradable_fraction(graded), "cls")
+    rows = graded.groupBy("cls").agg(
+        *[F.count_if((F.col("verb") == v) & outcome).alias(f"v{v}") for v in verbs],
+        F.count_if((F.col("source") == canary) & (F.col("verb") == canary_verb) & outcome).alias("canary"),
+        F.avg((F.col("verdict") == "ungradable").cast("double")).alias("ungradable_fraction"),
+    )
     reason = F.when(F.col("canary") < floor, "canary").when(F.col("ungradable_fraction") > ceiling, "ungradable_fraction")
     for v in reversed(list(verbs)):
         reason = F.when(F.col(f"v{v}") < floor, F.lit(f"verb {v}")).otherwise(reason)
