@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over ``documents``: each reads what its predecessor wrote."""
+"""A corpus pipeline of five stages over ``documents``: each reads what its predecessor wrote.
+
+Null texts are empty: without a token they have a low score, and the classifier rejects them if its labels say so. All
+columns of the input are kept up to the last stage, whatever their names; an empty table passes all stages.
+"""
 
 from __future__ import annotations
 
@@ -24,15 +28,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id stays."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text"))
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha256_hex(normalised(docs["text"])) == gone["gone_text"])
+    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text"))
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (sha256_hex(normalised(docs["text"])) == gone["_gone_text"])
     return docs.join(gone, same, "left_anti")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest id stays."""
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    """Of near copies the one with the smallest id stays. Rows without an id can't be told apart, and all stay."""
+    gone = near_dedup(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,18 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((x.doc_id, x.length, x.ids_crc32) for x in found) == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "minhash_dedup", "suffix_dedup", "best_fit_packing"]
+
+
+def test_stages_keep_rows_and_columns(spark):
+    words = [f"tok{i}" for i in range(400)]
+    text = lambda s: " ".join(random.Random(s).choices(words, k=60))
+    rows = [(1, text(1)), (2, text(1) + " "), (2, None), (3, text(2)), (4, text(2) + " more"), (None, text(2) + " more"), (None, text(3)), (5, "")]
+    docs = spark.createDataFrame([(*r, "a", 1, "b") for r in rows], "doc_id long, text string, kept string, n_chars long, row string")
+    left = lambda stage, d: sorted(((x.doc_id, x.text) for x in stage(spark, d, "").collect()), key=str)
+    exact = corpus_pipeline.exact_stage(spark, docs, "")
+    assert exact.columns == docs.columns and left(lambda s, d, _: d, exact) == sorted([(1, text(1)), (2, text(1) + " "), (2, None), (3, text(2)), (4, text(2) + " more"), (None, text(3))], key=str)
+    near = left(corpus_pipeline.near_stage, docs)
+    assert near == sorted([(1, text(1)), (3, text(2)), (None, text(2) + " more"), (None, text(3)), (5, "")], key=str)
+    cut = corpus_pipeline.suffix_stage(spark, docs, "")
+    assert cut.columns == docs.columns and {(x.doc_id, x.text, x.n_chars, x.kept, x.row) for x in cut.where("doc_id in (1, 3, 5)").collect()} == {(1, text(1), len(text(1)), "a", "b"), (3, text(2), len(text(2)), "a", "b"), (5, "", 0, "a", "b")}
+    assert corpus_pipeline.packing_stage(spark, docs.where("doc_id < 0"), "").count() == 0
