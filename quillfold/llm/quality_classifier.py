@@ -12,6 +12,7 @@ of their id. Everything fitted has a fixed size; every document is scored by its
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 from typing import NamedTuple
@@ -88,18 +89,17 @@ class Model(NamedTuple):
     temperature: float
 
 
-def word_vectors(texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of the frequent tokens, after HASHED rows for all others."""
-    counts: dict[str, int] = {}
+def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of the frequent tokens, after HASHED rows for all others. One text's tokens are held at a time."""
+    counts: Counter[str] = Counter()
     for text in texts:
-        for t in text:
-            counts[t] = counts.get(t, 0) + 1
+        counts.update(features(text))
     chosen = sorted(counts, key=lambda t: (-counts[t], t))[:VOCABULARY]
     words = {t: HASHED + i for i, t in enumerate(chosen)}
     own = index_vectors(np.concatenate([np.arange(HASHED, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([xxhash.xxh3_64_intdigest(t) for t in chosen], np.uint64)]))
     near = np.zeros_like(own)
     for text in texts:
-        ids = np.array([words.get(t, -1) for t in text], np.int64)
+        ids = np.array([words.get(t, -1) for t in features(text)], np.int64)
         ids = ids[ids >= 0]
         for step in range(1, NEAR + 1):
             if len(ids) > step:
@@ -185,8 +185,7 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 
 def train(texts: list[str], labels: list[int]) -> Model:
     """Fits word vectors, network and temperature. Without both labels the score is the share of label 1."""
-    tokens = [features(t) for t in texts]
-    words, vectors = word_vectors(tokens)
+    words, vectors = word_vectors(texts)
     x = pooled(iter(texts), vectors, _rows(words))
     y = np.array(labels, np.float64)
     share = (y.sum() + 1) / (len(y) + 2)
