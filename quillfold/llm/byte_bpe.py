@@ -101,13 +101,14 @@ def _mapped(docs: DataFrame, of_text, columns: str, id_col: str, text_col: str)
     """Rows of doc_id and what ``of_text`` gives for a text; one row for each row of ``docs``."""
     prepare(docs.sparkSession)
     kind = docs.select(id_col).dtypes[0][1]
-    names = [c.split()[0] for c in columns.split(", ")]
+    names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k] for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [of_text(x) for at in range(0, batch.num_rows, 64) for x in batch.column("text").slice(at, 64).to_pylist()]
             values = zip(*rows, strict=True) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(v)) if len(v) else pa.array([], pa.string()) for v in map(list, values))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=["doc_id", *names])
 
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {columns}")
 
