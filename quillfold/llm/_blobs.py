@@ -26,9 +26,10 @@ def lengths(blobs: list[bytes], width: int) -> np.ndarray:
     return np.array([len(b) // width for b in blobs], np.int64)
 
 
-def table(**columns) -> pa.Table:
-    """Lists of ints become long columns, lists of bytes binary ones."""
-    return pa.table({k: pa.array(v, pa.binary() if v and isinstance(v[0], bytes) else pa.int64()) for k, v in columns.items()})
+def table(schema: str, columns: list) -> pa.Table:
+    """Columns of longs and binaries, by a DDL schema; a table without rows has its types too."""
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.table({name: pa.array(values, pa.int64() if kind == "long" else pa.binary()) for (name, kind), values in zip(fields, columns or [[]] * len(fields), strict=True)})
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -139,6 +139,8 @@ def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+ANSWER = "batch long, single binary, several binary"
+REQUEST = "batch long, bucket long, hashes binary, contexts binary"
 CODE = 5  # bytes of a hash that are sent to its bucket; more occurrences than there are cost time only
 SEEN = 6  # bytes of a context digest, one bit less, in the first request
 
@@ -157,7 +159,7 @@ def _requests(rows: pa.Table, buckets: int) -> pa.Table:
     used = np.flatnonzero(np.diff(cuts))
     code = hashes[by] >> np.uint64(8 * (8 - CODE))
     batch = rows.column("batch")[0].as_py()
-    return table(batch=[batch] * len(used), bucket=used.tolist(), hashes=[pack(code[cuts[b] : cuts[b + 1]], CODE) for b in used], contexts=[pack(contexts[by[cuts[b] : cuts[b + 1]]], SEEN) for b in used])
+    return table(REQUEST, [[batch] * len(used), used.tolist(), [pack(code[cuts[b] : cuts[b + 1]], CODE) for b in used], [pack(contexts[by[cuts[b] : cuts[b + 1]]], SEEN) for b in used]])
 
 
 def _answers(rows: pa.Table) -> pa.Table:
@@ -183,8 +185,7 @@ def _answers(rows: pa.Table) -> pa.Table:
         at += n
         if (s > 0).any():
             out.append((batch, pack((np.unique(c[s == 1]) << np.uint64(24)) + np.uint64(bucket)), pack((np.unique(c[s == 2]) << np.uint64(24)) + np.uint64(bucket))))
-    batches, once, many = zip(*out, strict=True) if out else ([], [], [])
-    return pa.table({"batch": pa.array(batches, pa.int64()), "single": pa.array(once, pa.binary()), "several": pa.array(many, pa.binary())})
+    return table(ANSWER, list(zip(*out, strict=True)))
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -235,8 +236,7 @@ def _first_places(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
             if len(k):
                 near = batch.contexts(at[k], doc[k])[0].tobytes() if some else b""
                 out.append((number, b, pack(hashes[k]), pack(contexts[k]), pack(ids[k].view(np.uint64)), pack(doc[k], 4), pack(place[k], 4), sizes[k].tobytes(), near))
-    columns = list(zip(*out, strict=True)) if out else [[]] * 9
-    return pa.table({c.split()[0]: pa.array(v, pa.int64() if "long" in c else pa.binary()) for c, v in zip(FIRSTS.split(", "), columns, strict=True)})
+    return table(FIRSTS, list(zip(*out, strict=True)))
 
 
 def repeated_offsets(bytes_: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -318,7 +318,7 @@ def _repeats(rows: pa.Table) -> pa.Table:
             out.setdefault(batches[i], []).append((pack(doc[rows_[k]], 4), pack(place[rows_[k]], 4), reach[k].tobytes()))
     names = sorted(out)
     parts = [[b"".join(x[i] for x in out[b]) for b in names] for i in range(3)]
-    return pa.table({"batch": pa.array(names, pa.int64())} | {c: pa.array(v, pa.binary()) for c, v in zip(("doc", "place", "reach"), parts, strict=True)})
+    return table(SPAN, [names, *parts])
 
 
 def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -386,8 +386,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         text_of(text_col).cast("binary").alias("text"),
     )
     by_batch = rows.groupBy("batch")
-    requests = by_batch.applyInArrow(lambda t: _requests(t, buckets), "batch long, bucket long, hashes binary, contexts binary")
-    answers = requests.groupBy("bucket").applyInArrow(_answers, "batch long, single binary, several binary")
+    requests = by_batch.applyInArrow(lambda t: _requests(t, buckets), REQUEST)
+    answers = requests.groupBy("bucket").applyInArrow(_answers, ANSWER)
     firsts = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(lambda t, a: _first_places(t, a, buckets), FIRSTS)
     spans = firsts.groupBy("bucket").applyInArrow(_repeats, SPAN)
     schema = T.StructType([T.StructField("row", docs.select(keep).schema)] + T.StructType.fromDDL("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary").fields)

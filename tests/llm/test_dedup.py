@@ -88,6 +88,13 @@ def test_suffix_dedup_is_brute_force(spark, seed):
     assert got == brute_suffix([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_short_and_blank_texts_keep_all(spark):
+    rows = [(1, "short"), (2, "short"), (3, ""), (4, None)]
+    found = suffix_dedup(frame(spark, rows)).collect()
+    assert sorted((x.row.doc_id, bytes(x.kept), len(x.spans)) for x in found) == [(1, b"short", 0), (2, b"short", 0), (3, b"", 0), (4, b"", 0)]
+    assert suffix_dedup(frame(spark, rows[2:])).count() == 2
+
+
 def test_whole_characters_stay_text(spark):
     passage = "".join(chr(0x100 + (7 * i + i * i) % 301) for i in range(120))
     rows = [(1, "x" + passage), (2, passage + "tail"), (3, "yy" + passage)]
