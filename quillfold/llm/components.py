@@ -17,12 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     aggregates, which combine before the shuffle; its neighbours are never listed in one row.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        over = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = checkpointed(least.join(over, "label").select("node", "old", F.least("label", "next").alias("label")))
-        labels = after.select("node", "label")
-        if after.where("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    least = F.min("label").alias("label")
+    labels = checkpointed(both.select(F.col("a").alias("node"), F.least("a", "b").alias("label")).groupBy("node").agg(least, F.lit(True).alias("changed")))
+    while not labels.where("changed").isEmpty():
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        hooked = near.union(own).groupBy("node").agg(least, F.max("old").alias("old"))
+        over = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        jumped = hooked.join(over, "label").select("node", F.least("label", "next").alias("label"), "old")
+        labels = checkpointed(jumped.select("node", "label", (F.col("old") != F.col("label")).alias("changed")))
+    return labels.select("node", F.col("label").alias("component"))
