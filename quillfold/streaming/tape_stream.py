@@ -58,14 +58,17 @@ class TapeStreamReader(SimpleDataSourceStreamReader):
                 f.seek(at["byte"])
                 stop = end["byte"] - at["byte"] if end is not None and first == end["segment"] else left if end is None else -1
                 data = f.read(stop)
-                if end is None and b"\n" not in data and len(data) == stop:
+                # As many bytes as asked for: the segment may have more, and the next one isn't begun before its end.
+                more = end is None and len(data) == stop
+                if more and b"\n" not in data:
                     data += f.readline()
+                    more = data.endswith(b"\n")
             data = data[: data.rfind(b"\n") + 1]
             for row in scan_segment(data, first):
                 out.append((*row[:11], row[11] + at["line"], row[12]))
             at = {"segment": first, "byte": at["byte"] + len(data), "line": at["line"] + data.count(b"\n")}
             left -= len(data)
-            if end is None and left <= 0:
+            if more or end is None and left <= 0:
                 break
         return out, at
 
