@@ -504,10 +504,17 @@ for _code, _out in [(c, {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.ge
 
 @query(f"""SELECT doc_id, md5('"' || {_ESCAPED} || '"') AS literal_md5, to_base64(encode(left(text, 50))) AS head_b64 FROM documents""")
 def json_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as string literals of the ledger."""
+    """Texts as string literals of the ledger. head_b64 is of 50 characters only; ``text_base64`` encodes whole texts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(json_string(F.col("text"))).alias("literal_md5"), F.regexp_replace(F.base64(F.substring("text", 1, 50).cast("binary")), r"\r\n", "").alias("head_b64"))
 
 
+@query("SELECT doc_id, md5(to_base64(encode(text))) AS b64_md5, CAST(length(to_base64(encode(text))) AS BIGINT) AS b64_length FROM documents")
+def text_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as base64, by digest and length."""
+    b64 = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\r\n", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(b64).alias("b64_md5"), F.length(b64).cast("long").alias("b64_length"))
+
+
 @query("SELECT count(DISTINCT (event_type, user_id)) AS n_cells, count(*) AS n FROM events")
 def cell_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell ids by hash: as many as there are keys."""
