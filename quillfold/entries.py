@@ -206,8 +206,8 @@ def reversibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("pos", classes.reversibility(F.col("cls"), F.col("table"), F.col("op")).alias("reversibility"))
 
 
-def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir).where("pos > 5000")
+def _proposals(spark: SparkSession, sf_dir: str, after: int = 5000) -> DataFrame:
+    f = facts(spark, sf_dir).where(F.col("pos") > after)
     return f.select(
         F.col("pos").alias("seq"), "idx", F.when(F.col("pos") % 50 == 0, "verb").otherwise("tx").alias("kind"),
         F.when(F.col("pos") % 100 == 0, "seam:s1").otherwise("seat:a").alias("by"),
@@ -257,6 +257,28 @@ def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit.reasons(admit.judged_facts(_proposals(spark, sf_dir), state.cells_of(base), class_map(), state.caps_of(base), "s1"))
 
 
+_MIDDLE_SQL = "(SELECT coalesce((max(event_id) + 1) // 2, 0) FROM events)"
+_JUDGED_MIDDLE_SQL = _JUDGED_SQL.replace("event_id < 5000", f"event_id < {_MIDDLE_SQL}").replace("a.pos > 5000", f"a.pos > {_MIDDLE_SQL}")
+
+
+def _judged_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir)
+    middle = (f.agg(F.max("pos")).first()[0] or 0) // 2
+    base = state.admitted(state.as_of(f, middle))
+    return admit.judged_facts(_proposals(spark, sf_dir, middle), state.cells_of(base), class_map(), state.caps_of(base), "s1")
+
+
+@query(_JUDGED_MIDDLE_SQL + "SELECT pos AS seq, dup, reason, CASE WHEN reason = 'constraint_violated' THEN coalesce(chk, 'cap:purchase') END AS constraint_id FROM o")
+def admission_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of the events judged by the state that the earlier half left; both grow with the table."""
+    return _judged_middle(spark, sf_dir).select("seq", "dup", "reason", "constraint_id")
+
+
+@query(_JUDGED_MIDDLE_SQL + "SELECT coalesce(reason, CASE WHEN dup THEN 'dup' END, 'admitted') AS outcome, count(*) AS n FROM o GROUP BY ALL")
+def admission_middle_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admit.reasons(_judged_middle(spark, sf_dir))
+
+
 @query("SELECT event_id AS seq, CASE WHEN row_number() OVER (PARTITION BY user_id, event_id // 20 ORDER BY event_id) > 1 THEN 'duplicate_request' END AS fault FROM events")
 def idempotency(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("client_id"), F.call_function("div", F.col("event_id"), F.lit(20)).alias("request_id"))

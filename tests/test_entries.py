@@ -2,8 +2,13 @@ import base64
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_base64_is_of_the_whole_text(spark, tmp_path):
     r = random.Random(3)
@@ -13,3 +18,19 @@ def test_base64_is_of_the_whole_text(spark, tmp_path):
     got = {x.doc_id: (x.b64_md5, x.b64_length) for x in __spark_entry__.queries()["text_base64"](spark, str(tmp_path)).collect()}
     coded = [base64.b64encode(t.encode()) for t in texts]
     assert got == {i: (hashlib.md5(c).hexdigest(), len(c)) for i, c in enumerate(coded)} | {99: (None, None)}
+
+
+def test_admission_state_grows_with_the_table(spark, tmp_path):
+    """The state is that of the earlier half at every size, and every later event is judged; the SQL says the same."""
+    duckdb = pytest.importorskip("duckdb")
+    events = spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id")
+    for n in (1, 301, 1000):
+        events.where(F.col("event_id") < n).coalesce(1).write.parquet(str(tmp_path / str(n) / "events.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{n}/events.parquet/*.parquet'")
+        got = __spark_entry__.queries()["admission_middle"](spark, str(tmp_path / str(n))).collect()
+        assert sorted(x.seq for x in got) == list(range(n // 2 + 1, n + 1))
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(__spark_entry__.oracle_sql()["admission_middle"]).fetchall()))
+        reasons = {x.outcome: x.n for x in __spark_entry__.queries()["admission_middle_reasons"](spark, str(tmp_path / str(n))).collect()}
+        assert reasons == dict(con.execute(__spark_entry__.oracle_sql()["admission_middle_reasons"]).fetchall()) and sum(reasons.values()) == n - n // 2
+    assert any(x.dup or x.reason == "stale_source" for x in got)  # the state is met
