@@ -76,7 +76,8 @@ class TapeStreamReader(SimpleDataSourceStreamReader):
 class CellsFold:
     """Cells and caps kept in a folder, one version for each batch; a batch that was folded already is skipped.
 
-    A version is written whole before the pointer to it moves, so a batch is applied once whatever fails.
+    A version is written whole before the pointer to it moves, so a batch is applied once whatever fails. The facts
+    are the pointer and come last, after the caps and the position of the last cap period tick.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -93,33 +94,50 @@ class CellsFold:
 
     def last(self) -> DataFrame | None:
         """The latest fact of each cell as of the last batch, with opened_ns and pos_last."""
+        return self._last("facts")
+
+    def _last(self, part: str) -> DataFrame | None:
         found = self._versions()
-        return self.spark.read.parquet(f"{self.folder}/{found[-1]}/facts") if found else None
+        return self.spark.read.parquet(f"{self.folder}/{found[-1]}/{part}") if found else None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """For foreachBatch, over a stream of tape rows."""
         found = self._versions()
         if found and batch_id <= found[-1]:
             return
-        facts = state.delivered_once(state.facts_of(batch.where("scan_reason is null")))
-        facts = facts.select("pos", "idx", "t_epoch_ns", "cell", "cls", "source_pos", "amount_minor", "due_ns", "state", "flags", F.col("t_epoch_ns").alias("opened_ns"), F.col("pos").alias("pos_last"))
+        rows = batch.where("scan_reason is null")
+        facts = state.delivered_once(state.facts_of(rows))
+        facts = facts.select("pos", "idx", "t_epoch_ns", "cell", "cls", "source_pos", "amount_minor", "due_ns", "state", "flags", F.col("t_epoch_ns").alias("opened_ns"), F.col("pos").alias("pos_last"), F.lit(True).alias("fresh"))
         old = self.last()
         if old is not None:
             # Redelivered positions: those at or below what a cell has seen.
             seen = old.select(F.col("cell").alias("_c"), F.col("pos_last").alias("_seen"))
             facts = facts.join(seen, F.col("cell") == F.col("_c"), "left").where("_seen is null or pos > _seen").drop("_c", "_seen")
-            facts = old.select(facts.columns).unionByName(facts)
-        judged = state.replayed(facts)
+            facts = old.withColumn("fresh", F.lit(False)).select(facts.columns).unionByName(facts)
+        judged = state.replayed(facts).persist()
         order = F.struct("pos", "idx")
         applied = F.when(F.col("verdict") == "applied", order)
         row = F.struct("pos", "idx", "t_epoch_ns", "cls", "source_pos", "amount_minor", "due_ns", "state", "flags")
         new = judged.groupBy("cell").agg(F.max_by(row, applied).alias("r"), F.min_by("opened_ns", order).alias("opened_ns"), F.max("pos_last").alias("pos_last")).select("cell", "r.*", "opened_ns", "pos_last")
+        before = self._last("mark").first()["last_tick"] if old is not None else -1
+        tick = max(before, state.last_cap_tick(rows))
+        # A cell's last fact stands for what it added before; only the batch's own facts add to it.
+        caps = state.increases(judged).where("fresh").where(F.col("pos") > tick).select("cls", F.col("increase").alias("cap_used"))
+        if old is not None and tick == before:
+            caps = self.caps().unionByName(caps)
+        caps.groupBy("cls").agg(F.sum("cap_used").alias("cap_used")).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/caps")
+        self.spark.range(1).select(F.lit(tick).cast("long").alias("last_tick")).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/mark")
         new.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/facts")
+        judged.unpersist()
 
     def cells(self) -> DataFrame:
         last = self.last()
         return last.select("cell", "cls", "amount_minor", "due_ns", "state", "flags", F.col("source_pos").alias("src_pos_last"), "opened_ns", "pos_last")
 
+    def caps(self) -> DataFrame:
+        """Exposure used by class since the last cap period tick."""
+        return self._last("caps")
+
 
 def follow(spark: SparkSession, folder: str) -> DataFrame:
     spark.dataSource.register(TapeStreamSource)

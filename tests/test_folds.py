@@ -142,6 +142,30 @@ def test_replay_incremental_and_redelivery_agree(spark, tmp_path):
     assert kept == {c["id"]: (c["amount_minor"], c["pos_last"]) for c in t.cells.values()}
 
 
+def test_caps_are_kept_batch_by_batch(spark, tmp_path):
+    """After each batch as by replay up to there: ticks inside batches, batches without facts, redelivered rows."""
+    r = random.Random(4)
+    t = transactor(tmp_path / "led")
+    for i in range(40):
+        t.write(Request("c", str(i), [fact(str(r.randrange(5)), r.randrange(1000), r.randrange(1, 40), cls=1) for _ in range(r.randrange(1, 3))]))
+        if i in (11, 12, 29):
+            t.tick("cap_period")
+        elif i % 10 == 5:
+            t.tick("other")
+    tape, end = Ledger(spark, str(tmp_path / "led")).tape(), t.writer.committed_pos
+    ticks = [x.pos for x in state.cap_ticks(tape).orderBy("pos").collect()]
+    assert len(ticks) == 3
+    fold, seen = CellsFold(spark, str(tmp_path / "fold")), 0
+    for batch_id, (low, high) in enumerate([(0, 0), (1, 8), (5, ticks[1] + 4), (0, ticks[1] + 4), (ticks[1] + 5, ticks[2]), (ticks[2] + 1, end - 2), (end - 3, end), (0, end)]):
+        fold.apply(tape.where(f"pos between {low} and {high}"), batch_id)
+        fold.apply(tape.where(f"pos between {low} and {high}"), batch_id)
+        seen = max(seen, high)
+        cells, caps = state.rebuild(tape, seen)
+        assert {x.cls: x.cap_used for x in fold.caps().collect()} == {x.cls: x.cap_used for x in caps.collect()}
+        assert sorted((x.cell, x.amount_minor, x.pos_last) for x in fold.cells().collect()) == sorted((x.cell, x.amount_minor, x.pos_last) for x in cells.collect())
+    assert {x.cls: x.cap_used for x in fold.caps().collect()} == dict(t.cap_used) and sum(t.cap_used.values()) > 0
+
+
 def test_snapshot_and_tail_give_the_whole(spark, tmp_path):
     r = random.Random(5)
     t = transactor(tmp_path / "led")
