@@ -2,18 +2,21 @@
 
 Tokens are words in lower case and what surrounds them: case patterns, runs of one mark, lengths. Each token has a fixed
 sparse ternary index vector, drawn by its hash. A token's word vector is its index vector plus the sum of
-those of its neighbours in the sample, so tokens of like contexts lie close together; tokens that the sample
-lacks have their index vector only. A document is the mean of its tokens' vectors; a two-layer network gives
-its logit, and a temperature, fitted on labelled rows that the network has not seen, makes it a probability.
-
-The sample is bounded: ``SAMPLE`` labelled documents of at most ``SAMPLE_TEXT`` bytes, those with the least hash
-of their id. Everything fitted has a fixed size; every document is scored by its whole text.
+those of its neighbours in the training texts, all those outside the held-out fold, so tokens of like contexts
+lie close together; tokens that aren't among the ``VOCABULARY`` most frequent have a shared index vector only.
+Frequencies and sums are whole numbers, added up by tasks. A document is the mean of its tokens' vectors; a
+two-layer network gives its logit, and a temperature, fitted on labelled rows that the network has not seen,
+makes it a probability.
+
+Network and temperature see ``SAMPLE`` labelled documents of any length, those with the least hash of their id.
+Everything fitted has a fixed size; every document is scored by its whole text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 from typing import NamedTuple
 
@@ -21,18 +24,22 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import prepare, text_of
-from ._vocab import Kept
+from ._runtime import partitions, prepare, text_of
 
 FOLDS, HELD_OUT = 5, 0
-SAMPLE, SAMPLE_TEXT = 4000, 1 << 17
-#: Most words with vectors of their own, by frequency in the sample; the rest share hashed rows.
+SAMPLE = 4000
+#: Most words with vectors of their own, by frequency in the training texts; the rest share hashed rows.
 VOCABULARY, HASHED = 30_000, 4096
 DIMENSION, NONZERO, NEAR = 64, 6, 2
+#: Tokens whose pairs are sorted at once, and rows of context sums that go together.
+PAIRED, BLOCK = 1 << 20, 64
+#: Distinct tokens that a task keeps before it starts anew: some 100 MB. Buckets of a doubling of the frequency.
+KEEP, STEPS = 600_000, 64
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 3e-3
 #: Standardised inputs are kept within so many deviations, so what the sample lacks can't decide alone.
 REACH = 4.0
@@ -59,21 +66,47 @@ def features(text: str) -> list[str]:
     return found
 
 
+class Codes(dict):
+    """The rows of a token, in the upper bits, and of its shape, in the lower ``SHIFT`` bits, by ``row`` of a text."""
+
+    SHIFT = 16
+
+    def __init__(self, row: Callable[[str], int]):
+        self.row = row
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= KEEP:
+            self.clear()
+        self[token] = code = self.row(token.lower()) << self.SHIFT | self.row(_shape(token))
+        return code
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return codes >> self.SHIFT, codes & (1 << self.SHIFT) - 1
+
+
 def fold(id_col: str | Column, folds: int = FOLDS) -> Column:
     """crc32 of the id as text; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """Sparse ternary vectors, the same for a hash everywhere."""
-    out = np.zeros((len(hashes), DIMENSION), np.float32)
-    rows = np.arange(len(hashes))
-    state = hashes.astype(np.uint64)
+def index_parts(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of sparse ternary vectors, the same for a hash everywhere."""
+    state, places, signs = hashes.astype(np.uint64), [], []
     with np.errstate(over="ignore"):
         for _ in range(NONZERO):
             state = state * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
             x = state >> np.uint64(33)
-            out[rows, (x % np.uint64(DIMENSION)).astype(np.int64)] += np.where(x >> np.uint64(20) & np.uint64(1), 1, -1)
+            places.append((x % np.uint64(DIMENSION)).astype(np.int64))
+            signs.append(np.where(x >> np.uint64(20) & np.uint64(1), 1, -1))
+    return np.stack(places, axis=1), np.stack(signs, axis=1)
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(hashes), DIMENSION), np.float32)
+    rows = np.arange(len(hashes))
+    for place, sign in zip(*(x.T for x in index_parts(hashes)), strict=True):
+        out[rows, place] += sign
     return out
 
 
@@ -89,51 +122,139 @@ class Model(NamedTuple):
     temperature: float
 
 
-def word_vectors(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of the frequent tokens, after HASHED rows for all others. One text's tokens are held at a time."""
-    counts: Counter[str] = Counter()
-    for text in texts:
-        counts.update(features(text))
-    chosen = sorted(counts, key=lambda t: (-counts[t], t))[:VOCABULARY]
-    words = {t: HASHED + i for i, t in enumerate(chosen)}
-    own = index_vectors(np.concatenate([np.arange(HASHED, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.array([xxhash.xxh3_64_intdigest(t) for t in chosen], np.uint64)]))
-    near = np.zeros_like(own)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield from batch.column("text").slice(at, 64).to_pylist()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of a task's texts with their numbers. One text's tokens are held at a time."""
+
+    def told() -> pa.RecordBatch:
+        counts: Counter[str] = Counter({AGAIN: again} if again else {})
+        for t, n in raw.items():
+            counts[t.lower()] += n
+            counts[_shape(t)] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+
+    raw, again = Counter(), 0
+    for text in _texts(batches):
+        tokens = _tokens(text)
+        raw.update(tokens)
+        again += sum(map(eq, tokens, tokens[1:]))
+        if len(raw) > KEEP:
+            yield told()
+            raw, again = Counter(), 0
+    yield told()
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in words], np.uint64)
+
+
+def context_sums(texts: Iterator[str], words: list[str]) -> np.ndarray:
+    """For each word the sum of the index vectors of the words within ``NEAR`` places of it, other tokens left out."""
+    at = {t: i for i, t in enumerate(words)}
+    end = len(words)  # parts the texts
+    other = end + 1
+    codes_of = Codes(lambda t: at.get(t, other))
+    places, signs = index_parts(_hashes(words))
+    sums = np.zeros(len(words) * DIMENSION)
+
+    def add(ids: np.ndarray) -> None:
+        for low in range(0, len(ids), PAIRED):
+            part, codes = ids[low : low + PAIRED + NEAR], []
+            for step in range(1, NEAR + 1):
+                a = part[:-step][:PAIRED]
+                b = part[step:][: len(a)]
+                codes.append((a * (end + 1) + b)[(a < end) & (b < end)])
+            pairs, n = np.unique(np.concatenate(codes), return_counts=True)
+            a, b = np.divmod(pairs, end + 1)
+            for x, y in ((a, b), (b, a)):
+                for k in range(NONZERO):
+                    sums[:] += np.bincount(x * DIMENSION + places[y, k], weights=signs[y, k] * n, minlength=len(sums))
+
+    waiting, size = [], 0
     for text in texts:
-        ids = np.array([words.get(t, -1) for t in features(text)], np.int64)
-        ids = ids[ids >= 0]
-        for step in range(1, NEAR + 1):
-            if len(ids) > step:
-                a, b = ids[:-step], ids[step:]
-                for x, y in ((a, b), (b, a)):
-                    order = np.argsort(x, kind="stable")
-                    starts = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1]))
-                    near[x[order][starts]] += np.add.reduceat(own[y[order]], starts, axis=0)
+        tokens = _tokens(text)
+        ids = np.full((len(tokens), 3), other, np.int64)
+        ids[:, 0], ids[:, 1] = codes_of.of(tokens)
+        ids[1:, 2][np.fromiter(map(eq, tokens, tokens[1:]), bool, max(len(tokens) - 1, 0))] = at.get(AGAIN, other)
+        waiting += [ids[ids < other], np.full(NEAR, end)]
+        size += len(waiting[-2]) + NEAR
+        if size >= PAIRED:
+            add(np.concatenate(waiting))
+            waiting, size = [], 0
+    if waiting and words:
+        add(np.concatenate(waiting))
+    return sums.reshape(-1, DIMENSION).astype(np.int64)
+
+
+def _blocks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["block", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(blob), np.int64)
+            total[block] = total[block] + part if block in total else part
+    yield _blocks(total)
+
+
+def word_vectors(texts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of the frequent tokens of a column ``text``, after HASHED rows for all others."""
+    spark = texts.sparkSession
+    prepare(spark)
+    counts = texts.mapInArrow(_counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    # Tokens below the bucket of frequencies in which the last place falls are out; a few partitions sort the rest.
+    step = F.floor(F.log2("n") * STEPS).alias("step")
+    buckets = counts.groupBy(step).agg(F.count(F.lit(1)).alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, left = 1, VOCABULARY
+    for bucket in buckets:
+        least, left = bucket.least, left - bucket.tokens
+        if left <= 0:
+            break
+    chosen = [r.token for r in counts.where(F.col("n") >= least).repartition(8, "token").orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
+    counts.unpersist()
+    shared = spark.sparkContext.broadcast(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = context_sums(_texts(batches), shared.value)
+        parts = {i: found[i * BLOCK : (i + 1) * BLOCK] for i in range(-(-len(found) // BLOCK))}
+        yield _blocks({i: x for i, x in parts.items() if x.any()})
+
+    # A task adds up blocks as they come: its memory is that of the vocabulary.
+    summed = texts.mapInArrow(run, "block int, sums binary").repartition(partitions(spark), "block").mapInArrow(_added, "block int, sums binary")
+    own = index_vectors(np.concatenate([np.arange(HASHED, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), _hashes(chosen)]))
+    near = np.zeros(own.shape)
+    for r in summed.collect():
+        part = np.frombuffer(zlib.decompress(r.sums), np.int64).reshape(-1, DIMENSION)
+        near[HASHED + r.block * BLOCK :][: len(part)] = part
     norm = np.linalg.norm(near, axis=1, keepdims=True)
     vectors = own / np.sqrt(NONZERO) + near / np.maximum(norm, 1e-9)
-    return words, vectors.astype(np.float32)
+    return {t: HASHED + i for i, t in enumerate(chosen)}, vectors.astype(np.float32)
 
 
-def _rows(words: dict[str, int]) -> tuple[Kept, Kept]:
+def _rows(words: dict[str, int]) -> Codes:
     """The rows of a token and of its shape."""
-    row = lambda t: words[t] if t in words else xxhash.xxh3_64_intdigest(t) % HASHED
-    return Kept(lambda t: row(t.lower())), Kept(lambda t: row(_shape(t)))
+    return Codes(lambda t: words[t] if t in words else xxhash.xxh3_64_intdigest(t) % HASHED)
 
 
-def pooled(texts: Iterator[str], vectors: np.ndarray, rows: tuple[Kept, Kept]) -> np.ndarray:
+def pooled(texts: Iterator[str], vectors: np.ndarray, rows: Codes) -> np.ndarray:
     """Mean word vectors of texts, and the logarithm of the number of tokens; zeros for texts without tokens."""
     out = []
     for text in texts:
         tokens = _tokens(text)
         again = sum(map(eq, tokens, tokens[1:]))
-        ids = np.concatenate([*(np.fromiter(map(r.__getitem__, tokens), np.int64, len(tokens)) for r in rows), np.full(again, rows[0][AGAIN])])
+        ids = np.sort(np.concatenate([*rows.of(tokens), np.full(again, rows[AGAIN] >> Codes.SHIFT)]))
         total = np.zeros(DIMENSION + 1)
         if len(ids):
-            times = np.bincount(ids, minlength=len(vectors)) if len(ids) > len(vectors) // 8 else None
-            if times is None:
-                total[:-1] = vectors[ids].sum(axis=0, dtype=np.float64) / len(ids)
-            else:
-                used = np.flatnonzero(times)
-                total[:-1] = times[used] @ vectors[used].astype(np.float64) / len(ids)
+            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            times = np.diff(np.append(starts, len(ids)))
+            total[:-1] = times @ vectors[ids[starts]].astype(np.float64) / len(ids)
             total[-1] = np.log1p(len(ids))
         out.append(total)
     return np.array(out).reshape(-1, DIMENSION + 1)
@@ -183,11 +304,8 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Fits word vectors, network and temperature. Without both labels the score is the share of label 1."""
-    words, vectors = word_vectors(texts)
-    x = pooled(iter(texts), vectors, _rows(words))
-    y = np.array(labels, np.float64)
+def train(words: dict[str, int], vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
+    """Fits network and temperature to pooled rows. Without both labels the score is the share of label 1."""
     share = (y.sum() + 1) / (len(y) + 2)
     blank = Model(words, vectors, np.zeros(DIMENSION + 1), np.ones(DIMENSION + 1), np.zeros((DIMENSION + 1, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(share / (1 - share))), 1.0)
     held = np.arange(len(y)) % CALIBRATION == CALIBRATION - 1
@@ -200,19 +318,31 @@ def train(texts: list[str], labels: list[int]) -> Model:
     return model._replace(temperature=_temperature(logits(model, x[held]), y[held])) if held.any() else model
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``size`` labelled rows outside the held-out fold, by the hash of their id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int = SAMPLE) -> DataFrame:
+    """doc_id, label and text of at most ``size`` labelled ids outside the held-out fold, by the hash of the id."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != HELD_OUT))
     chosen = usable.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").collect()
-    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), r.text))
-    return [r.text for r in rows], [int(r.label > 0) for r in rows]
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("label") > 0).cast("double").alias("label"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", size: int = SAMPLE) -> Model:
-    return train(*sample(docs, labels, id_col, text_col, label_col, size))
+    """Texts stay with the tasks; the driver gets the frequent tokens, their context sums and the sample's pooled rows."""
+    words, vectors = word_vectors(docs.where(fold(id_col) != HELD_OUT).select(text_of(text_col).alias("text")))
+    shared = docs.sparkSession.sparkContext.broadcast((words, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_words, own = shared.value
+        rows = _rows(own_words)
+        for batch in batches:
+            x = pooled(_texts(iter([batch])), own, rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
+
+    found = sample(docs, labels, id_col, text_col, label_col, size).mapInArrow(run, "doc_id string, label double, x binary").collect()
+    found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r.doc_id), r.x))
+    x = np.frombuffer(b"".join(r.x for r in found)).reshape(-1, DIMENSION + 1)
+    return train(words, vectors, x, np.array([r.label for r in found], np.float64))
 
 
 def with_scores(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -206,6 +206,43 @@ def test_classifier_learns_from_its_fold_only(spark):
     assert all(np.array_equal(a, b) for a, b in zip(model[1:], again[1:], strict=True))
 
 
+def test_classifier_contexts_are_of_all_training_texts(spark, monkeypatch):
+    """Long texts and texts without a label count, those of the held-out fold don't; sums are those of plain loops."""
+    r = random.Random(8)
+    rows, labels = synthetic(60)
+    rows += [(1000 + i, " ".join(r.choices(["one", "Two", "two", "!!", "!!", "33"], k=r.randrange(40)))) for i in range(40)]  # no label
+    rows += [(2000 + i, "Long words words " * 12_000) for i in range(10)]  # over 128 KB
+    texts = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    model = quality_classifier.fit(frame(spark, rows).repartition(7), spark.createDataFrame(labels, "doc_id long, quality int"))
+    counts = Counter(f for t in texts for f in quality_classifier.features(t))
+    assert {"one", "long"} <= set(counts) and list(model.words) == sorted(counts, key=lambda t: (-counts[t], t))
+    near = np.zeros_like(model.vectors, np.float64)
+    own = quality_classifier.index_vectors(quality_classifier._hashes(list(model.words)))
+    for text in texts:
+        ids = [model.words[t] for t in quality_classifier.features(text)]
+        for step in (1, 2):
+            for a, b in zip(ids, ids[step:], strict=False):
+                near[a] += own[b - quality_classifier.HASHED]
+                near[b] += own[a - quality_classifier.HASHED]
+    near = near[quality_classifier.HASHED :]
+    want = own / np.sqrt(quality_classifier.NONZERO) + near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(model.vectors[quality_classifier.HASHED :], want, atol=1e-6)
+    whole = quality_classifier.context_sums(iter(texts), list(model.words))
+    assert np.array_equal(whole, near)
+    monkeypatch.setattr(quality_classifier, "PAIRED", 50)
+    assert np.array_equal(quality_classifier.context_sums(iter(texts[:20]), list(model.words)), sum(quality_classifier.context_sums(iter([t]), list(model.words)) for t in texts[:20]))
+
+
+def test_classifier_learns_from_long_texts(spark):
+    rows, labels = synthetic(60)
+    rows = [(i, (t + " ") * 500) for i, t in rows]
+    assert min(len(t) for _, t in rows) > 1 << 17
+    docs = frame(spark, rows)
+    model = quality_classifier.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    found = {x.doc_id: x.score for x in quality_classifier.quality_scores(docs, model).collect()}
+    assert np.mean([found[i] for i, y in labels if y]) > np.mean([found[i] for i, y in labels if not y]) + 0.3
+
+
 def test_classifier_without_labels(spark):
     docs = frame(spark)
     model = quality_classifier.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
