@@ -6,7 +6,7 @@ are not used: they would turn an error into a verdict. A compiled expression is
 error) and the error's name (null if none).
 
     or  := and ("||" and)*      and := cmp ("&&" cmp)*     cmp := add (op add)?
-    add := mul (("+" | "-") mul)*     mul := un (("*" | "/" | "%") un)*     un := ("!" | "-")? prim
+    add := mul (("+" | "-") mul)*     mul := un (("*" | "/" | "%") un)*     un := ("!" | "-") un | prim
     prim := INT | NAME | "(" or ")" | abs(or) | min(or, or) | max(or, or) | true | false
 """
 
@@ -23,6 +23,8 @@ from quillfold.schema import CONSTRAINT_COLUMNS, INT64_MAX, INT64_MIN
 
 OVERFLOW, DIVISION = "expr_overflow", "expr_div_by_zero"
 MAX_DEPTH, MAX_STACK = 64, 120
+#: Signs in a row; trees are walked by recursion.
+MAX_SIGNS = 128
 _TOKEN = re.compile(r"[ \t]*(?:(?P<int>[0-9]+)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<op>\|\||&&|==|!=|<=|>=|[-+*/%!<>(),]))")
 _COMPARE = ("==", "!=", "<", "<=", ">", ">=")
 _FUNCTIONS = {"abs": 1, "min": 2, "max": 2}
@@ -76,9 +78,9 @@ class _Parser:
         return node
 
     def either(self) -> Node:
-        self.depth += 1
         if self.depth > MAX_DEPTH:
             self.fail("expr_too_complex")
+        self.depth += 1
         node = self.chain(lambda: self.chain(self.compared, ("&&",), True), ("||",), True)
         self.depth -= 1
         return node
@@ -94,9 +96,15 @@ class _Parser:
         return self.chain(lambda: self.chain(self.unary, ("*", "/", "%"), False), ("+", "-"), False)
 
     def unary(self) -> Node:
-        if op := self.take("!", "-"):
-            return Node("!" if op == "!" else "neg", (self.typed(self.primary(), op == "!"),))
-        return self.primary()
+        signs = []
+        while op := self.take("!", "-"):
+            signs.append(op)
+        if len(signs) > MAX_SIGNS:
+            self.fail("expr_too_complex")
+        node = self.primary()
+        for op in reversed(signs):
+            node = Node("!" if op == "!" else "neg", (self.typed(node, op == "!"),))
+        return node
 
     def primary(self) -> Node:
         m = self.peek()
