@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillfold.functions.hashing import row_digest
 from quillfold.operators import state
 from quillfold.plans.views import Ledger
-from quillfold.sources.tape import scan_tape
+from quillfold.sources.tape import read_strict
 
 _COLUMNS = ("pos", "idx", "t_epoch_ns", "cell", "cls", "source_pos", "amount_minor", "due_ns", "state", "flags")
 
@@ -33,8 +33,13 @@ def resume(spark: SparkSession, tape_folder: str, folder: str, to_pos: int | Non
     old = spark.read.parquet(f"{folder}/cells")
     if row_digest(old, sorted(old.columns)) != (mark["digest"], mark["n"]):
         raise SnapshotBroken(folder)
-    tail = scan_tape(spark, tape_folder, from_pos=mark["pos"] + 1, to_pos=to_pos).where("scan_reason is null")
-    new = state.delivered_once(state.facts_of(tail)).select(*_COLUMNS, F.col("t_epoch_ns").alias("opened_ns"), F.col("pos").alias("seen"), F.lit(1).cast("long").alias("n_before"))
+    tail = read_strict(spark, tape_folder, from_pos=mark["pos"] + 1, to_pos=to_pos, torn_tail=True)
+    return continued(old, state.delivered_once(state.facts_of(tail)))
+
+
+def continued(old: DataFrame, facts: DataFrame) -> DataFrame:
+    """Cells from those of a snapshot and the facts behind it."""
+    new = facts.select(*_COLUMNS, F.col("t_epoch_ns").alias("opened_ns"), F.col("pos").alias("seen"), F.lit(1).cast("long").alias("n_before"))
     # A cell's snapshot stands for all its facts so far, as one before the tail.
     base = old.select(F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("idx"), F.col("opened_ns").alias("t_epoch_ns"), "cell", "cls", F.col("src_pos_last").alias("source_pos"), "amount_minor", "due_ns", "state", "flags", "opened_ns", F.col("pos_last").alias("seen"), F.col("n_applied").alias("n_before"))
     judged = state.replayed(base.unionByName(new))

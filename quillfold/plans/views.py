@@ -9,7 +9,7 @@ from quillfold.functions.hashing import row_digest
 from quillfold.operators import state, verify
 from quillfold.schema import REFUSE_BODY
 from quillfold.session import configure
-from quillfold.sources.tape import scan_tape
+from quillfold.sources.tape import read_strict
 
 VIEWS = ("tape", "facts", "cells", "caps", "refusals", "ticks")
 
@@ -21,7 +21,8 @@ class Ledger:
         self.spark, self.folder = configure(spark), folder
 
     def tape(self, pos: int | None = None) -> DataFrame:
-        return scan_tape(self.spark, self.folder, to_pos=pos).where("scan_reason is null")
+        """Rows up to a position; one that can't be read is an error, but for a torn tail."""
+        return read_strict(self.spark, self.folder, to_pos=pos, torn_tail=True)
 
     def frames(self, pos: int | None = None) -> dict[str, DataFrame]:
         tape = self.tape(pos)

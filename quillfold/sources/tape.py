@@ -15,6 +15,7 @@ from decimal import Decimal
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -101,31 +102,70 @@ def scan_row(line: bytes, check_hash: bool = True) -> Row:
     return row
 
 
+def scanned(line: bytes, first_pos: int, number: int, check_hash: bool = True) -> tuple:
+    try:
+        r = scan_row(line, check_hash)
+    except BadRow as e:
+        return (*[None] * 10, first_pos, number, str(e))
+    return (r.pos, r.term, r.t_epoch_ns, r.k, Decimal(r.cell), r.cls, r.by, r.body.decode("utf-8", "replace"), r.prev, r.h, first_pos, number, None)
+
+
+def torn(rest: bytes, first_pos: int, number: int) -> tuple:
+    return (len(rest), *[None] * 9, first_pos, number, "torn")
+
+
 def scan_segment(data: bytes, first_pos: int, check_hash: bool = True) -> Iterator[tuple]:
     """Rows of schema TAPE; a bad line has its reason, and bytes after the last newline are a row "torn" with their number as pos."""
     *lines, rest = data.split(b"\n")
     for number, line in enumerate(lines, 1):
-        try:
-            r = scan_row(line, check_hash)
-        except BadRow as e:
-            yield (*[None] * 10, first_pos, number, str(e))
-            continue
-        yield (r.pos, r.term, r.t_epoch_ns, r.k, Decimal(r.cell), r.cls, r.by, r.body.decode("utf-8", "replace"), r.prev, r.h, first_pos, number, None)
+        yield scanned(line, first_pos, number, check_hash)
     if rest:
-        yield (len(rest), *[None] * 9, first_pos, len(lines) + 1, "torn")
+        yield torn(rest, first_pos, len(lines) + 1)
 
 
-def scan_tape(spark: SparkSession, folder: str, check_hash: bool = True, from_pos: int | None = None, to_pos: int | None = None) -> DataFrame:
-    """The ledger's rows. Positions outside the range are left out; segments that can't hold any aren't opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "seg-*.jsonl").load(folder)
+def scan_lines(lines: DataFrame, keys: list[str], check_hash: bool = True) -> DataFrame:
+    """Rows of many ledgers from a table of lines: ``keys`` name the ledger, then seg_first_pos, line_no, line (binary, without its newline) and whole (false for a torn one)."""
+    kept = _parse_datatype_string("struct<" + ", ".join(f"`{n}`: {t}" for n, t in lines.select(keys).dtypes) + ">")
+    schema = T.StructType([*kept.fields, *_parse_datatype_string(TAPE).fields])
+    types = to_arrow_schema(_parse_datatype_string(TAPE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, number, line, whole = (batch.column(c).to_pylist() for c in ("seg_first_pos", "line_no", "line", "whole"))
+            rows = [scanned(x, f, n, check_hash) if w else torn(x, f, n) for f, n, x, w in zip(first, number, line, whole, strict=True)]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(list(c), t) for c, t in zip(columns, types.types, strict=True))], names=schema.names)
+
+    return lines.select(*keys, "seg_first_pos", "line_no", "line", "whole").mapInArrow(run, schema)
+
+
+def _names(files: DataFrame) -> list[tuple[int, str]]:
+    """First positions and paths of the segments, in order: a listing, which opens no file."""
+    found = [(segment_of(r[0]), r[0]) for r in files.select("path").collect()]
+    return sorted(x for x in found if x[0] is not None)
+
+
+def _holding(files: DataFrame, from_pos: int | None, to_pos: int | None) -> list[str]:
+    """Paths of the segments that can hold positions of the range."""
+    known = _names(files)
+    low = max((p for p, _ in known if from_pos is not None and p <= from_pos), default=0)
+    return [path for p, path in known if p >= low and (to_pos is None or p <= to_pos)]
+
+
+class Unreadable(ValueError):
+    """A row that a strict scan met."""
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "seg-*.jsonl").load(folder)
+
+
+def _scanned(files: DataFrame, from_pos: int | None, to_pos: int | None, check_hash: bool, may_be_torn: int | None, strict: bool) -> DataFrame:
+    if from_pos is not None or to_pos is not None:
+        held = _holding(files, from_pos, to_pos)
+        files = files.sparkSession.read.format("binaryFile").load(held) if held else files.limit(0)
     first = F.regexp_extract("path", SEGMENT_NAME, 1)
     files = files.where(first != "").select(first.try_cast("long").alias("first_pos"), "content")
-    if from_pos is not None or to_pos is not None:
-        known = sorted(r[0] for r in files.select("first_pos").collect())  # one number for each file
-        low = max([p for p in known if from_pos is None or p <= from_pos], default=0) if from_pos is not None else 0
-        files = files.where(F.col("first_pos") >= low)
-        if to_pos is not None:
-            files = files.where(F.col("first_pos") <= to_pos)
     schema = _parse_datatype_string(TAPE)
     arrow = to_arrow_schema(schema)
 
@@ -133,6 +173,11 @@ def scan_tape(spark: SparkSession, folder: str, check_hash: bool = True, from_po
         for batch in batches:
             for first_pos, content in zip(batch.column("first_pos").to_pylist(), batch.column("content"), strict=True):
                 rows = list(scan_segment(content.as_py(), first_pos, check_hash))
+                if strict:
+                    for *_, line, reason in rows:
+                        if reason is not None and not (reason == "torn" and first_pos == may_be_torn):
+                            raise Unreadable(f"unreadable row: segment {first_pos} line {line}: {reason}")
+                    rows = [r for r in rows if r[-1] is None]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
@@ -145,11 +190,19 @@ def scan_tape(spark: SparkSession, folder: str, check_hash: bool = True, from_po
     return out
 
 
-def read_strict(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows, or an error for the first reason that one can't be read."""
-    rows = scan_tape(spark, folder)
-    told = F.raise_error(F.concat(F.lit("unreadable row: segment "), F.col("seg_first_pos").cast("string"), F.lit(" line "), F.col("line_no").cast("string"), F.lit(": "), F.col("scan_reason")))
-    return rows.where(F.when(F.col("scan_reason").isNotNull(), told.cast("boolean")).otherwise(F.lit(True)))
+def scan_tape(spark: SparkSession, folder: str, check_hash: bool = True, from_pos: int | None = None, to_pos: int | None = None) -> DataFrame:
+    """The ledger's rows. Positions outside the range are left out; segments that can't hold any aren't opened."""
+    return _scanned(_files(spark, folder), from_pos, to_pos, check_hash, None, False)
+
+
+def read_strict(spark: SparkSession, folder: str, from_pos: int | None = None, to_pos: int | None = None, torn_tail: bool = False) -> DataFrame:
+    """All rows of a range, or an error for the first reason that one can't be read, whatever the rows are then filtered by.
+
+    With ``torn_tail`` bytes after the last newline of the last segment are left out: a writer may be at work there.
+    """
+    files = _files(spark, folder)
+    known = _names(files) if torn_tail else []
+    return _scanned(files, from_pos, to_pos, True, known[-1][0] if known else None, True)
 
 
 def dump(tape: DataFrame, from_pos: int = 0, to_pos: int | None = None, kind: str | None = None) -> DataFrame:
