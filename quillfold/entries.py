@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import quillfold.entries_ledger  # noqa: F401  registers its queries
 from quillfold.functions.convert import cents, epoch_ns, minor_units, state_of, timestamp_ns
 from quillfold.functions.expr import compile_text
 from quillfold.functions.hashing import cell_id_column
@@ -14,19 +13,9 @@ from quillfold.functions.jsonlines import json_string
 from quillfold.operators import admit, designed, enrich, field, grades, ordered, state
 from quillfold.operators.enrich import EnrichedColumn, IngestDef, SideJoin
 from quillfold.plans.tables import CELLS_SQL, FACTS_SQL, class_map, decision_log, facts, order_cells, table
+from quillfold.registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 # -- declared enrichment
@@ -170,6 +159,8 @@ CONSTRAINTS = {
     "either": "amount_minor * 922337203685477 > 0 || true",
     "skipped": "false && 1 / state == 1",
     "minmax": "max(abs(-amount_minor), 5000) - min(amount_minor, 100) <= 20000",
+    "signs": "!!(--amount_minor == ---cls + 4 || !!!(state > 1))",
+    "nested": "(" * 64 + "state > 1" + ")" * 64,
 }
 _CHECK_SQL = {
     "plain": ("amount_minor % 7 = 2 OR state < 3", "NULL"),
@@ -179,6 +170,8 @@ _CHECK_SQL = {
     "either": ("CASE WHEN amount_minor::HUGEINT * 922337203685477 BETWEEN -9223372036854775808 AND 9223372036854775807 THEN true END", "CASE WHEN amount_minor::HUGEINT * 922337203685477 NOT BETWEEN -9223372036854775808 AND 9223372036854775807 THEN 'expr_overflow' END"),
     "skipped": ("false", "NULL"),
     "minmax": ("greatest(abs(amount_minor), 5000) - least(amount_minor, 100) <= 20000", "NULL"),
+    "signs": ("amount_minor = 4 - cls OR NOT state > 1", "NULL"),
+    "nested": ("state > 1", "NULL"),
 }
 
 

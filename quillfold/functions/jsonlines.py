@@ -187,3 +187,10 @@ def invalid_at(column: Column) -> Column:
         return pa.array([None if v is None else first_invalid_utf8(v) for v in values.to_pylist()], pa.int64())
 
     return F.when(F.is_valid_utf8(column.cast("string")), F.lit(None).cast("long")).otherwise(offsets(column))
+
+
+def base64_strict_column(column: Column) -> Column:
+    """What padded base64 in a binary column decodes to, null if it is anything else; all in the JVM."""
+    text = column.cast("string")
+    found = F.try_to_binary(F.when(text.rlike("^[A-Za-z0-9+/]*={0,2}$"), text), F.lit("base64"))
+    return F.when(F.regexp_replace(F.base64(found), "\r\n", "") == text, found)

@@ -6,6 +6,8 @@ Order is by (pos, idx), never by source_pos. Every fold is a function of the led
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +31,19 @@ def facts_of(tape: DataFrame) -> DataFrame:
     )
 
 
-def unreadable_tx(tape: DataFrame) -> int:
-    tx = tape.where("k = 'tx'")
+def unreadable(tape: DataFrame) -> DataFrame:
+    """The tx rows whose body can't be read."""
     read = F.col("body").rlike("(?s)" + _STRICT) & F.from_json("body", TX_BODY)["facts"].isNotNull()
-    return tx.where(~F.coalesce(read, F.lit(False))).count()
+    return tape.where("k = 'tx'").where(~F.coalesce(read, F.lit(False)))
+
+
+def unreadable_tx(tape: DataFrame) -> int:
+    return unreadable(tape).count()
 
 
-def cap_ticks(tape: DataFrame) -> DataFrame:
-    """Positions at which exposure starts anew."""
-    return tape.where("k = 'tick'").where(F.from_json("body", TICK_BODY)["cadence_rule"] == "cap_period").select("pos")
+def cap_ticks(tape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys,) positions at which exposure starts anew."""
+    return tape.where("k = 'tick'").where(F.from_json("body", TICK_BODY)["cadence_rule"] == "cap_period").select(*keys, "pos")
 
 
 def as_of(df: DataFrame, pos: int | None) -> DataFrame:

@@ -6,6 +6,8 @@ it, one row for each. So nothing but those summaries meets in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +16,16 @@ from quillfold.schema import GENESIS
 _SEG_BODY = r'^\{"first_pos":(0|[1-9][0-9]{0,19}),"prev_of_first_entry":"([^"]{64})"\}$'
 
 
-def breaks(tape: DataFrame) -> DataFrame:
-    """seg_first_pos, line_no, problem: a row for each broken rule of a scanned ledger (scan_tape)."""
+def breaks(tape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys,) seg_first_pos, line_no, problem: a row for each broken rule of scanned ledgers, which ``keys`` tell apart."""
+    keys = list(keys)
     good = tape.where("scan_reason is null")
-    inside = Window.partitionBy("seg_first_pos").orderBy("line_no")
+    inside = Window.partitionBy(*keys, "seg_first_pos").orderBy("line_no")
     mark = F.struct("h", "pos", "t_epoch_ns")
-    last_segment = Window.orderBy("seg_first_pos").rowsBetween(Window.unboundedPreceding, -1)
-    ends = good.groupBy("seg_first_pos").agg(F.max_by(mark, "line_no").alias("_end"))
-    ends = ends.select(F.col("seg_first_pos").alias("_seg"), F.last("_end").over(last_segment).alias("_before"))
-    rows = good.withColumn("_own", F.lag(mark).over(inside)).withColumn("_n", F.row_number().over(inside)).join(ends, F.col("seg_first_pos") == F.col("_seg"), "left")
+    earlier = Window.partitionBy(*keys).orderBy("seg_first_pos").rowsBetween(Window.unboundedPreceding, -1)
+    ends = good.groupBy(*keys, "seg_first_pos").agg(F.max_by(mark, "line_no").alias("_end"))
+    ends = ends.select(*keys, "seg_first_pos", F.last("_end").over(earlier).alias("_before"))
+    rows = good.withColumn("_own", F.lag(mark).over(inside)).withColumn("_n", F.row_number().over(inside)).join(ends, [*keys, "seg_first_pos"], "left")
     prior = F.coalesce("_own", "_before")
     first = F.col("_n") == 1
     told = F.regexp_extract("body", _SEG_BODY, 1)
@@ -40,10 +43,11 @@ def breaks(tape: DataFrame) -> DataFrame:
         rule("not_at_genesis", is_seg & seg_ok & (F.col("seg_first_pos") == 0) & (F.col("prev") != GENESIS)),
         rule("forked", is_seg & seg_ok & (F.col("seg_first_pos") != 0) & (F.col("prev") == GENESIS)),
     )
-    broken = rows.select("seg_first_pos", "line_no", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("problem"))
-    unread = tape.where("scan_reason is not null and scan_reason <> 'torn'").select("seg_first_pos", "line_no", F.col("scan_reason").alias("problem"))
-    latest = tape.agg(F.max("seg_first_pos").alias("_last"))
-    torn = tape.where("scan_reason = 'torn'").join(F.broadcast(latest), F.col("seg_first_pos") < F.col("_last")).select("seg_first_pos", "line_no", F.lit("torn_tail").alias("problem"))
+    broken = rows.select(*keys, "seg_first_pos", "line_no", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("problem"))
+    unread = tape.where("scan_reason is not null and scan_reason <> 'torn'").select(*keys, "seg_first_pos", "line_no", F.col("scan_reason").alias("problem"))
+    latest = Window.partitionBy(*keys).orderBy("seg_first_pos").rowsBetween(1, Window.unboundedFollowing)
+    torn = tape.groupBy(*keys, "seg_first_pos").agg(F.max(F.when(F.col("scan_reason") == "torn", F.col("line_no"))).alias("line_no")).withColumn("_next", F.max("seg_first_pos").over(latest))
+    torn = torn.where("line_no is not null and _next is not null").select(*keys, "seg_first_pos", "line_no", F.lit("torn_tail").alias("problem"))
     return broken.unionByName(unread).unionByName(torn)
 
 
@@ -68,18 +72,30 @@ def report(tape: DataFrame, expected_head: str | None = None) -> dict:
     }
 
 
+def statuses(tape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys,) ghost_segments, ghost_bytes, torn_tail_bytes, last_pos: what an opening of each ledger would find.
+
+    Ghosts are trailing segments without a whole row; the torn bytes are those after the last whole row.
+    """
+    keys = list(keys)
+    torn = F.col("scan_reason").eqNullSafe("torn")
+    per = tape.groupBy(*keys, "seg_first_pos").agg(F.count_if(~torn).alias("lines"), F.coalesce(F.max(F.when(torn, F.col("pos"))), F.lit(0)).cast("long").alias("torn"), F.max(F.when(~torn, F.col("pos"))).alias("top"))
+    last = F.max(F.when(F.col("lines") > 0, F.struct("seg_first_pos", "torn", "top")))
+    ghost = F.col("seg_first_pos") > F.coalesce(F.col("_last.seg_first_pos"), F.lit(-1))
+    per = per.withColumn("_last", last.over(Window.partitionBy(*keys)))
+    return per.groupBy(*keys).agg(
+        F.count_if(ghost).alias("ghost_segments"),
+        F.coalesce(F.sum(F.when(ghost, F.col("torn"))), F.lit(0)).alias("ghost_bytes"),
+        F.coalesce(F.max("_last.torn"), F.lit(0)).alias("torn_tail_bytes"),
+        F.max("_last.top").alias("last_pos"),
+    )
+
+
 def status(tape: DataFrame) -> dict:
-    """What an opening of the ledger would find: trailing segments without a whole row, and torn bytes after the last one."""
-    per = tape.groupBy("seg_first_pos").agg(F.count_if(F.col("line_no").isNotNull() & (F.coalesce("scan_reason", F.lit("")) != "torn")).alias("lines"), F.max(F.when(F.col("scan_reason") == "torn", F.col("pos"))).alias("torn"), F.max("pos").alias("pos"))
-    rows = [r.asDict() for r in per.orderBy(F.desc("seg_first_pos")).toLocalIterator()]
-    ghosts = 0
-    ghost_bytes = 0
-    for r in rows:
-        if r["lines"]:
-            return {"ghost_segments": ghosts, "ghost_bytes": ghost_bytes, "torn_tail_bytes": r["torn"] or 0}
-        ghosts, ghost_bytes = ghosts + 1, ghost_bytes + (r["torn"] or 0)
-    return {"ghost_segments": ghosts, "ghost_bytes": ghost_bytes, "torn_tail_bytes": 0}
-
-
-def kinds(tape: DataFrame) -> DataFrame:
-    return tape.where("scan_reason is null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    """The same of one ledger."""
+    row = statuses(tape).first()
+    return {c: int(row[c] or 0) if row else 0 for c in ("ghost_segments", "ghost_bytes", "torn_tail_bytes")}
+
+
+def kinds(tape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return tape.where("scan_reason is null").groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"))

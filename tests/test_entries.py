@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import random
 
 import pytest
@@ -34,3 +35,18 @@ def test_admission_state_grows_with_the_table(spark, tmp_path):
         reasons = {x.outcome: x.n for x in __spark_entry__.queries()["admission_middle_reasons"](spark, str(tmp_path / str(n))).collect()}
         assert reasons == dict(con.execute(__spark_entry__.oracle_sql()["admission_middle_reasons"]).fetchall()) and sum(reasons.values()) == n - n // 2
     assert any(x.dup or x.reason == "stale_source" for x in got)  # the state is met
+
+
+def test_ledger_queries_agree_with_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name in ("events", "documents", "orders", "lineitem"):
+        path = f"{SF}/{name}.parquet"
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    for name in ("ledger_scan", "ledger_damages", "ledger_breaks", "ledger_status", "ledger_cells", "ledger_resumed", "ledger_caps", "ledger_unreadable", "utf8_offsets", "base64_strict"):
+        got = __spark_entry__.queries()[name](spark, SF)
+        found = con.execute(__spark_entry__.oracle_sql()[name])
+        names = [d[0] for d in found.description]
+        want = sorted(map(str, found.fetchall()))
+        assert sorted(got.columns) == sorted(names) and len(want) > 0
+        assert sorted(str(tuple(r[c] for c in names)) for r in got.collect()) == want, name

@@ -5,8 +5,11 @@ import pytest
 from quillfold.functions.hashing import blake2b_hex, cell_id
 from quillfold.functions.jsonlines import Members, Refused, Text, base64_strict, dumps, first_invalid_utf8, scan_string, scan_u64
 from quillfold.operators import verify
+from quillfold.plans import snapshot
+from quillfold.plans.ledgers import generated_bodies
+from quillfold.plans.views import Ledger
 from quillfold.sources.tape import BadRow, dump, read_strict, scan_row, scan_tape, segment_name
-from quillfold.sources.writer import LedgerBroken, LedgerWriter, build_row, folder_digest, generate, segments
+from quillfold.sources.writer import LedgerBroken, LedgerWriter, build_row, folder_digest, generate, generated_body, segments
 from quillfold.streaming.tape_stream import TapeStreamReader, TapeStreamSource
 
 
@@ -82,6 +85,71 @@ def test_verify_and_damage(spark, tmp_path):
     assert verify.report(scan_tape(spark, folder))["problems"] == {"prev_link": 1, "forked": 1}
 
 
+def test_a_damaged_ledger_gives_no_answer(spark, tmp_path):
+    """A row in the middle that can't be read is an error of every view and snapshot; a torn tail of the last segment isn't."""
+    folder = str(tmp_path / "led")
+    writer = generate(folder, 200, 4096, 16)
+    ledger = Ledger(spark, folder)
+    whole = ledger.query("SELECT count(*) AS n FROM tape").first().n
+    assert whole == writer.next_pos
+    snapshot.take(ledger, 10, str(tmp_path / "snap"))
+    last = os.path.join(folder, segment_name(segments(folder)[-1]))
+    with open(last, "ab") as f:
+        f.write(b'{"pos":9')
+    assert ledger.query("SELECT count(*) AS n FROM tape").first().n == whole
+    with pytest.raises(Exception, match="torn"):
+        read_strict(spark, folder).count()
+    path = os.path.join(folder, segment_name(segments(folder)[3]))
+    good = open(path, "rb").read()
+    for bad, reason in ((good.replace(b'"amount_cents":', b'"amount_Cents":', 1), "hash_mismatch"), (good + b'{"pos":1', "torn")):
+        open(path, "wb").write(bad)
+        with pytest.raises(Exception, match=reason):
+            ledger.query("SELECT count(*) AS n FROM tape").collect()
+        with pytest.raises(Exception, match=reason):
+            ledger.query("SELECT * FROM cells").collect()
+        with pytest.raises(Exception, match=reason):
+            ledger.health()
+        with pytest.raises(Exception, match=reason):
+            snapshot.resume(spark, folder, str(tmp_path / "snap")).collect()
+
+
+def test_segments_out_of_range_are_not_opened(spark, tmp_path):
+    """A segment that can't be read at all doesn't matter to a range that it has no part in."""
+    folder = str(tmp_path)
+    generate(folder, 400, 4096, 16)
+    found = segments(folder)
+    low, high = found[4], found[6] - 1
+    want = scan_tape(spark, folder).where(f"pos between {low} and {high}").count()
+    big = max(os.path.getsize(os.path.join(folder, segment_name(s))) for s in found[4:7])
+    for other in (found[1], found[8]):
+        with open(os.path.join(folder, segment_name(other)), "ab") as f:
+            f.write(b"x" * 3 * big)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 2 * big)
+    try:
+        assert scan_tape(spark, folder, from_pos=low, to_pos=high).count() == want == high - low + 1
+        with pytest.raises(Exception, match="max length"):
+            scan_tape(spark, folder).count()
+        assert scan_tape(spark, folder, from_pos=high + 1, to_pos=low).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_recovery_finds_a_last_row_of_any_length(tmp_path):
+    """The last row of the segment before the last one is longer than the first windows."""
+    folder = str(tmp_path)
+    writer = LedgerWriter(folder, 4096, sync=False)
+    writer.stage("tick", {"cadence_rule": "x" * 300_000})
+    writer.stage("tick", {"cadence_rule": "y"})
+    writer.commit()
+    assert len(segments(folder)) == 2 and LedgerWriter(folder, 4096).head == writer.head
+    path = os.path.join(folder, segment_name(0))
+    good = open(path, "rb").read()
+    for bad in (good[:-1], good.replace(b"xx", b"xz", 1)):
+        open(path, "wb").write(bad)
+        with pytest.raises(LedgerBroken):
+            LedgerWriter(folder, 4096)
+
+
 def test_recovery(spark, tmp_path):
     folder = str(tmp_path)
     generate(folder, 100, 1 << 20, 8)
@@ -145,3 +213,8 @@ def test_capped_stream_is_the_scan(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.pos for r in spark.table("capped").collect()) == sorted(r.pos for r in scan_tape(spark, folder).collect())
+
+
+def test_generated_bodies_are_the_generators(spark):
+    for row in generated_bodies(spark, "/root/testdata/sf0.001").limit(50).collect():
+        assert row.body.encode() == dumps(generated_body(row.event_id))
