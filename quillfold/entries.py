@@ -120,10 +120,19 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cells_of(state.admitted(facts(spark, sf_dir))).withColumns({c: F.col(c).cast("long") for c in ("state", "flags")})
 
 
-@query(f"WITH {FACTS_SQL.replace('FROM events', 'FROM events WHERE event_id < 5000')} SELECT cell, amount_minor, pos_last FROM c")
+_MIDDLE_SQL = "(SELECT coalesce((max(event_id) + 1) // 2, 0) FROM events)"
+
+
+def _middle(f: DataFrame, part: int = 2) -> int:
+    """A position that grows with the table."""
+    return (f.agg(F.max("pos")).first()[0] or 0) // part
+
+
+@query(f"WITH {FACTS_SQL.replace('FROM events', f'FROM events WHERE event_id < {_MIDDLE_SQL}')} SELECT cell, amount_minor, pos_last FROM c")
 def cells_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state as of a position: a filter below the fold."""
-    return state.cells_of(state.admitted(state.as_of(facts(spark, sf_dir), 5000))).select("cell", "amount_minor", "pos_last")
+    """The state as of the middle of the log: a filter below the fold."""
+    f = facts(spark, sf_dir)
+    return state.cells_of(state.admitted(state.as_of(f, _middle(f)))).select("cell", "amount_minor", "pos_last")
 
 
 @query(f"""
@@ -138,10 +147,11 @@ def cells_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {FACTS_SQL}, i AS (SELECT pos, cls, greatest(amount_minor - coalesce(lag(amount_minor) OVER (PARTITION BY cell ORDER BY pos, idx), 0), 0) AS inc FROM v WHERE verdict = 'applied')
-SELECT cls, CAST(sum(inc) AS BIGINT) AS cap_used FROM i WHERE pos > 1000 GROUP BY cls""")
+SELECT cls, CAST(sum(inc) AS BIGINT) AS cap_used FROM i WHERE pos > (SELECT (max(event_id) + 1) // 4 FROM events) GROUP BY cls""")
 def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exposure by class since a cap period tick at position 1000."""
-    return state.caps_of(state.admitted(facts(spark, sf_dir)), 1000)
+    """Exposure by class since a cap period tick after the first quarter of the log."""
+    f = facts(spark, sf_dir)
+    return state.caps_of(state.admitted(f), _middle(f, 4))
 
 
 @query(f"WITH {FACTS_SQL} SELECT verdict, tbl AS \"table\", count(*) AS n FROM v GROUP BY ALL")
@@ -199,7 +209,7 @@ def reversibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("pos", classes.reversibility(F.col("cls"), F.col("table"), F.col("op")).alias("reversibility"))
 
 
-def _proposals(spark: SparkSession, sf_dir: str, after: int = 5000) -> DataFrame:
+def _proposals(spark: SparkSession, sf_dir: str, after: int) -> DataFrame:
     f = facts(spark, sf_dir).where(F.col("pos") > after)
     return f.select(
         F.col("pos").alias("seq"), "idx", F.when(F.col("pos") % 50 == 0, "verb").otherwise("tx").alias("kind"),
@@ -210,13 +220,13 @@ def _proposals(spark: SparkSession, sf_dir: str, after: int = 5000) -> DataFrame
 
 
 _JUDGED_SQL = f"""
-WITH {FACTS_SQL.replace('FROM events', 'FROM events WHERE event_id < 5000')},
+WITH {FACTS_SQL.replace('FROM events', f'FROM events WHERE event_id < {_MIDDLE_SQL}')},
 u AS (SELECT cls, CAST(sum(inc) AS BIGINT) AS cap_used FROM (SELECT cls, greatest(amount_minor - coalesce(lag(amount_minor) OVER (PARTITION BY cell ORDER BY pos, idx), 0), 0) AS inc FROM v WHERE verdict = 'applied') GROUP BY cls),
 {FACTS_SQL.split("v AS (")[0].replace("f AS (", "a AS (", 1).rstrip().rstrip(',')},
 p AS (
   SELECT a.*, {_REVERSIBILITY.replace('tbl', 'a.tbl').replace(' op ', ' a.op ').replace('CASE cls', 'CASE a.cls')} AS rev, CASE WHEN a.pos % 9 = 0 THEN 'irreversible' ELSE '' END AS declared,
     c.cell IS NOT NULL AS found, c.amount_minor AS before, c.src_pos_last AS last, coalesce(u.cap_used, 0) AS used
-  FROM a LEFT JOIN c ON a.cell = c.cell LEFT JOIN u ON a.cls = u.cls WHERE a.pos > 5000),
+  FROM a LEFT JOIN c ON a.cell = c.cell LEFT JOIN u ON a.cls = u.cls WHERE a.pos > {_MIDDLE_SQL}),
 q AS (
   SELECT *, CASE cls
     WHEN 1 THEN CASE WHEN NOT amount_minor <= 20000 THEN 'small' WHEN state = 0 THEN 'ratio:expr_div_by_zero' WHEN NOT (1000 // nullif(state, 0) >= 250 OR amount_minor < 5000) THEN 'ratio' END
@@ -236,38 +246,20 @@ o AS (SELECT pos, coalesce(same, false) AND early IS NULL AS dup, coalesce(early
 """
 
 
-@query(_JUDGED_SQL + "SELECT pos AS seq, dup, reason, CASE WHEN reason = 'constraint_violated' THEN coalesce(chk, 'cap:purchase') END AS constraint_id FROM o")
-def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposals judged by the state as of position 5000, by every rule in order."""
-    base = state.admitted(state.as_of(facts(spark, sf_dir), 5000))
-    judged = admit.judged_facts(_proposals(spark, sf_dir), state.cells_of(base), class_map(), state.caps_of(base), "s1")
-    return judged.select("seq", "dup", "reason", "constraint_id")
-
-
-@query(_JUDGED_SQL + "SELECT coalesce(reason, CASE WHEN dup THEN 'dup' END, 'admitted') AS outcome, count(*) AS n FROM o GROUP BY ALL")
-def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = state.admitted(state.as_of(facts(spark, sf_dir), 5000))
-    return admit.reasons(admit.judged_facts(_proposals(spark, sf_dir), state.cells_of(base), class_map(), state.caps_of(base), "s1"))
-
-
-_MIDDLE_SQL = "(SELECT coalesce((max(event_id) + 1) // 2, 0) FROM events)"
-_JUDGED_MIDDLE_SQL = _JUDGED_SQL.replace("event_id < 5000", f"event_id < {_MIDDLE_SQL}").replace("a.pos > 5000", f"a.pos > {_MIDDLE_SQL}")
-
-
 def _judged_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir)
-    middle = (f.agg(F.max("pos")).first()[0] or 0) // 2
+    middle = _middle(f)
     base = state.admitted(state.as_of(f, middle))
     return admit.judged_facts(_proposals(spark, sf_dir, middle), state.cells_of(base), class_map(), state.caps_of(base), "s1")
 
 
-@query(_JUDGED_MIDDLE_SQL + "SELECT pos AS seq, dup, reason, CASE WHEN reason = 'constraint_violated' THEN coalesce(chk, 'cap:purchase') END AS constraint_id FROM o")
+@query(_JUDGED_SQL + "SELECT pos AS seq, dup, reason, CASE WHEN reason = 'constraint_violated' THEN coalesce(chk, 'cap:purchase') END AS constraint_id FROM o")
 def admission_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The later half of the events judged by the state that the earlier half left; both grow with the table."""
     return _judged_middle(spark, sf_dir).select("seq", "dup", "reason", "constraint_id")
 
 
-@query(_JUDGED_MIDDLE_SQL + "SELECT coalesce(reason, CASE WHEN dup THEN 'dup' END, 'admitted') AS outcome, count(*) AS n FROM o GROUP BY ALL")
+@query(_JUDGED_SQL + "SELECT coalesce(reason, CASE WHEN dup THEN 'dup' END, 'admitted') AS outcome, count(*) AS n FROM o GROUP BY ALL")
 def admission_middle_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit.reasons(_judged_middle(spark, sf_dir))
 
@@ -364,7 +356,30 @@ def lattice_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 MILD = dict(den=16, omega=16, decay=16, k_cls=4, k_slot=4)
 
 
-@query()
+def _relaxed(colour: int, dev: str) -> str:
+    """The list of a colour's steps, in SQL: buckets are numbered by segment, class and slot."""
+    return f"""list_transform(range(192), lambda i: CASE WHEN (i // 8 % 6 + i % 8) % 2 = {colour} AND w[i + 1] = 0 THEN (
+      16 * (load[i + 1]::HUGEINT * 16 - 16 * {dev}[i + 1]
+        + 4 * (CASE WHEN i // 8 % 6 > 0 THEN {dev}[i - 7] - {dev}[i + 1] ELSE 0 END + CASE WHEN i // 8 % 6 < 5 THEN {dev}[i + 9] - {dev}[i + 1] ELSE 0 END
+          + CASE WHEN i % 8 > 0 THEN {dev}[i] - {dev}[i + 1] ELSE 0 END + CASE WHEN i % 8 < 7 THEN {dev}[i + 2] - {dev}[i + 1] ELSE 0 END))
+      // (16 * (16 + 4 * ((i // 8 % 6 > 0)::INT + (i // 8 % 6 < 5)::INT + (i % 8 > 0)::INT + (i % 8 < 7)::INT)))) ELSE 0 END)"""
+
+
+_ADDED = "list_transform(list_zip({a}, {b}), lambda x: x[1] + x[2])"
+_COEFFICIENTS = field.Coefficients(**MILD)
+
+
+@query(f"""
+WITH RECURSIVE {_PLACED}, g AS (SELECT fs, fc, slot, CAST(sum(amount_minor) * 65536 AS BIGINT) AS load, CAST(sum(flags) AS BIGINT) AS w FROM l GROUP BY ALL),
+x AS (SELECT list(coalesce(load, 0) ORDER BY s, c, t) AS load, list(coalesce(w, 0) ORDER BY s, c, t) AS w FROM range(4) q(s), range(6) r(c), range(8) u(t) LEFT JOIN g ON fs = s AND fc = c AND slot = t),
+r(n, dev, done) AS (
+  SELECT 0, list_transform(range(192), lambda i: 0::HUGEINT), false
+  UNION ALL
+  SELECT n + 1, dev2, list_max(list_transform(list_concat(red, black), lambda v: abs(v))) <= greatest(list_max(list_transform(dev2, lambda v: abs(v))), 65536) // {_COEFFICIENTS.tol_den} * {_COEFFICIENTS.tol_num}
+  FROM (SELECT *, {_ADDED.format(a="dev1", b="black")} AS dev2 FROM (SELECT *, {_relaxed(1, "dev1")} AS black FROM (
+    SELECT *, {_ADDED.format(a="dev", b="red")} AS dev1 FROM (SELECT n, dev, load, w, {_relaxed(0, "dev")} AS red FROM r, x WHERE NOT done AND n < {_COEFFICIENTS.max_iters})))))
+SELECT CAST(i // 48 AS INT) AS seg, CAST(i // 8 % 6 AS INT) AS cls, CAST(i % 8 AS INT) AS slot, CAST(dev[i + 1] AS BIGINT) AS dev, CAST(dev[i + 1] AS BIGINT) AS pressure, CAST(n AS BIGINT) AS iters, done AS converged
+FROM range(192) y(i), (SELECT * FROM r ORDER BY n DESC LIMIT 1)""")
 def lattice_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return field.swept(field.dense(field.projection(order_cells(spark, sf_dir), NOW, DIMS), DIMS), DIMS, field.Coefficients(**MILD))
 
@@ -517,10 +532,11 @@ for _code, _out in [(c, {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.ge
     _ESCAPED = f"replace({_ESCAPED}, chr({_code}), '{_out}')"
 
 
-@query(f"""SELECT doc_id, md5('"' || {_ESCAPED} || '"') AS literal_md5, to_base64(encode(left(text, 50))) AS head_b64 FROM documents""")
+@query(f"""SELECT doc_id, md5('"' || {_ESCAPED} || '"') AS literal_md5, CAST(length({_ESCAPED}) + 2 AS BIGINT) AS literal_length FROM documents""")
 def json_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as string literals of the ledger. head_b64 is of 50 characters only; ``text_base64`` encodes whole texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(json_string(F.col("text"))).alias("literal_md5"), F.regexp_replace(F.base64(F.substring("text", 1, 50).cast("binary")), r"\r\n", "").alias("head_b64"))
+    """Whole texts as string literals of the ledger."""
+    literal = json_string(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(literal).alias("literal_md5"), F.length(literal).cast("long").alias("literal_length"))
 
 
 @query("SELECT doc_id, md5(to_base64(encode(text))) AS b64_md5, CAST(length(to_base64(encode(text))) AS BIGINT) AS b64_length FROM documents")

@@ -74,7 +74,7 @@ class IngestDef:
         for j in self.joins:
             need(j.table, j.key_col)
             if j.via_table != self.class_table:
-                raise DeclarationRefused("enrich_no_join_path", f"{j.table} -> {j.via_table}")
+                raise DeclarationRefused("enrich_no_join_path", f"{j.table} joins to {j.via_table}, not to the grain")
             need(j.via_table, j.via_col)
         for c in self.columns:
             ref = qualified(c.source)
@@ -96,7 +96,7 @@ class IngestDef:
                 raise DeclarationRefused("enrich_no_join_path", b.table)
             for target in b.columns:
                 if target not in targets:
-                    raise DeclarationRefused("enrich_unresolved_column", f"{b.table} back-fills {target}")
+                    raise DeclarationRefused("enrich_unresolved_column", f"{target} of {b.table} isn't a declared column")
 
     def may_back_fill(self, table: str, target: str) -> bool:
         return any(b.table == table and target in b.columns for b in self.back_fill)
@@ -104,7 +104,7 @@ class IngestDef:
     def pin(self) -> str:
         parts = [self.class_table, self.key_col]
         for c in self.columns:
-            parts += [c.target, c.source, c.reducer or "<none>"]
+            parts += [c.target, c.source, c.reducer or "as is"]
         for j in self.joins:
             parts += [j.table, j.key_col, j.via_table, j.via_col]
         for b in self.back_fill:

@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import astuple, dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.functions.hashing import blake2b_hex
 from quillfold.operators.blocks import next_above, running_last, running_max
 from quillfold.operators.ordered import ordered_fold
-from quillfold.schema import VERBS
+from quillfold.schema import GENESIS, VERBS
 
 # Fixed values, in order of their numbers.
 VERDICTS = ("ungraded_yet", "right", "wrong", "ungradable", "reversed_late")
@@ -193,12 +194,21 @@ def calibration(graded: DataFrame, verbs: Sequence[int], floor: int, ceiling: fl
     return rows.select("cls", reason.isNull().alias("calibrated"), reason.alias("reason"))
 
 
-def grades_digest(graded: DataFrame) -> str:
-    """Over decisions in the order they were fed; the rows' hashes are made where the rows are, and chained by the driver in order."""
+def grades_digest(graded: DataFrame, block: int = 1 << 16) -> str:
+    """Over decisions in the order they were fed: blocks of positions are hashed where they are, and the driver chains a hash for each block."""
     numbers = {v: i for i, v in enumerate(VERDICTS)}
-    rows = graded.orderBy("seq").select("pos", "cell", "cls", "verb", "verdict", "graded_at_ns").toLocalIterator()
-    out = bytearray()
-    for r in rows:
-        for x in (r["pos"], r["cell"], r["cls"], r["verb"], numbers[r["verdict"]], r["graded_at_ns"]):
-            out += (x & (1 << 64) - 1).to_bytes(8, "little")
-    return blake2b_hex(bytes(out))
+    columns = ("pos", "cell", "cls", "verb", "verdict", "graded_at_ns")
+
+    def hashed(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        out = bytearray()
+        for row in zip(*(t.column(c).to_pylist() for c in columns), strict=True):
+            for x in row:
+                out += ((numbers[x] if isinstance(x, str) else int(x)) & (1 << 64) - 1).to_bytes(8, "little")
+        return pa.table({"block": t.column("block")[:1], "h": [blake2b_hex(bytes(out))]})
+
+    rows = graded.select("seq", *columns, F.floor(F.col("seq") / block).cast("long").alias("block"))
+    head = GENESIS
+    for r in rows.groupBy("block").applyInArrow(hashed, "block long, h string").orderBy("block").toLocalIterator():
+        head = blake2b_hex((head + r["h"]).encode())
+    return head

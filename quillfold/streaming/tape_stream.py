@@ -1,7 +1,7 @@
 """The ledger as a stream: a source that follows a folder by segment and byte, and folds kept batch by batch.
 
 A file source takes a file once and misses what is appended to it later; this one's offsets are (segment, byte), so it
-reads exactly the whole rows that were added. Folds guard by position: a batch that comes again changes nothing.
+reads exactly the whole rows that were added, each segment by a task of its own; no row passes the driver. Folds guard by position: a batch that comes again changes nothing.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from quillfold.operators import state
 from quillfold.schema import TAPE
@@ -29,10 +30,78 @@ class TapeStreamSource(DataSource):
     def schema(self) -> str:
         return TAPE
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        """Segments are read by tasks, each its own. With ``maxBytes`` the driver reads instead, so many bytes at a time."""
+        if "maxBytes" in self.options:
+            raise PySparkNotImplementedError(errorClass="NOT_IMPLEMENTED", messageParameters={"feature": "streamReader with maxBytes"})
+        return TapePartitionReader(self.options["path"])
+
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return TapeStreamReader(self.options["path"], int(self.options.get("maxBytes", 8 << 20)))
 
 
+class SegmentRange(InputPartition):
+    """The rows of a segment that begin at or after one byte and end before another."""
+
+    def __init__(self, first: int, start: int, stop: int):
+        self.first, self.start, self.stop = first, start, stop
+
+
+class TapePartitionReader(DataSourceStreamReader):
+    """Offsets are (segment, byte) behind a whole row; the driver looks at names, sizes and the end of the last segment only."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _path(self, first: int) -> str:
+        return os.path.join(self.folder, segment_name(first))
+
+    def initialOffset(self) -> dict:
+        return {"segment": -1, "byte": 0}
+
+    def latestOffset(self) -> dict:
+        for first in reversed(segments(self.folder)):
+            if stop := whole_rows(self._path(first)):
+                return {"segment": first, "byte": stop}
+        return self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[SegmentRange]:
+        out = []
+        for first in segments(self.folder):
+            if start["segment"] <= first <= end["segment"]:
+                low = start["byte"] if first == start["segment"] else 0
+                high = end["byte"] if first == end["segment"] else whole_rows(self._path(first))
+                if low < high:
+                    out.append(SegmentRange(first, low, high))
+        return out
+
+    def read(self, partition: SegmentRange) -> Iterator[tuple]:
+        with open(self._path(partition.first), "rb") as f:
+            lines, left = 0, partition.start
+            while left:
+                part = f.read(min(left, 1 << 20))
+                lines, left = lines + part.count(b"\n"), left - len(part)
+            data = f.read(partition.stop - partition.start)
+        for row in scan_segment(data, partition.first):
+            yield (*row[:11], row[11] + lines, row[12])
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept for offsets that are past."""
+
+
+def whole_rows(path: str, window: int = 64 << 10) -> int:
+    """The byte behind the last newline, 0 if there is none; looked for from the end, in windows."""
+    with open(path, "rb") as f:
+        end = f.seek(0, os.SEEK_END)
+        while end:
+            begin = max(0, end - window)
+            f.seek(begin)
+            if (at := f.read(end - begin).rfind(b"\n")) >= 0:
+                return begin + at + 1
+            end = begin
+    return 0
+
+
 class TapeStreamReader(SimpleDataSourceStreamReader):
     def __init__(self, folder: str, max_bytes: int):
         self.folder, self.max_bytes = folder, max_bytes

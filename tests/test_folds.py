@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillfold.operators import field, grades, state
+from quillfold.operators import designed, field, grades, state
 from quillfold.operators.blocks import next_above, running_last, running_max
 from quillfold.operators.enrich import BackFill, DeclarationRefused, EnrichedColumn, IngestDef, SideJoin, compile_ingest
 from quillfold.operators.ordered import coalesced_refusals, token_bucket
@@ -316,3 +316,21 @@ def test_facts_fold_state(spark):
     assert [x["verdict"] for x in judged.orderBy("pos").collect()] == ["applied", "applied", "applied", "applied", "stale_source", "dup", "dup", "applied", "stale_source"]
     again = state.cells_of(state.admitted(state.delivered_once(frame.unionByName(frame))))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, state.cells_of(judged).collect()))
+
+
+def test_blocks_of_designed_folds_are_nothing_to_see(spark):
+    """Kappa, allocation, search and the digest of grades give the same in blocks of any size."""
+    r = random.Random(9)
+    events = spark.createDataFrame([(i % 3, i, r.randrange(2), r.randrange(2)) for i in range(0, 700, 2)], "cls long, seq long, created long, removed_confirmed long")
+    whole = sorted(map(str, designed.kappa(events, 40).collect()))
+    assert whole == sorted(map(str, designed.kappa(events, 40, block=40).collect())) == sorted(map(str, designed.kappa(events, 40, block=97).collect())) and len(whole) == 350
+    last = [(i, sum(c for k, j, c, _ in map(tuple, events.collect()) if k == i % 3 and i - 40 <= j <= i)) for i in range(0, 700, 2)]
+    assert sorted((x.seq, x.created) for x in designed.kappa(events, 40, block=64).collect()) == last
+    asks = spark.createDataFrame([(i, i % 2, i % 5 == 0, r.choice([5, 50, 500]), r.randrange(9), 60) for i in range(200)], "ask_id long, period long, pool boolean, value long, cost long, budget long")
+    one = sorted(map(str, designed.allocated(asks).collect()))
+    assert one == sorted(map(str, designed.allocated(asks, width=7).collect())) and any("granted=True" in x for x in one) and any("granted=False" in x for x in one)
+    vectors = spark.createDataFrame([(i, [float(r.randrange(-3, 4)) for _ in range(8)]) for i in range(90)] + [(500, None), (501, [0.0] * 8)], "vec_id long, embedding array<double>")
+    some = vectors.where("vec_id % 9 = 0")
+    assert sorted(map(str, designed.nearest(vectors, some).collect())) == sorted(map(str, designed.nearest(vectors, some, cell_bytes=200).collect()))
+    graded = spark.createDataFrame([(i, i + 1, 7, 1, i % 5, "right" if i % 3 else "wrong", i * 10) for i in range(50)], "seq long, pos long, cell long, cls long, verb int, verdict string, graded_at_ns long")
+    assert grades.grades_digest(graded, 16) == grades.grades_digest(graded.repartition(5, "verdict"), 16) != grades.grades_digest(graded.where("seq <> 30"), 16)

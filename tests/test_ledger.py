@@ -10,7 +10,7 @@ from quillfold.plans.ledgers import generated_bodies
 from quillfold.plans.views import Ledger
 from quillfold.sources.tape import BadRow, dump, read_strict, scan_row, scan_tape, segment_name
 from quillfold.sources.writer import LedgerBroken, LedgerWriter, build_row, folder_digest, generate, generated_body, segments
-from quillfold.streaming.tape_stream import TapeStreamReader, TapeStreamSource
+from quillfold.streaming.tape_stream import TapePartitionReader, TapeStreamReader, TapeStreamSource
 
 
 def test_hash_vectors():
@@ -218,3 +218,28 @@ def test_capped_stream_is_the_scan(spark, tmp_path):
 def test_generated_bodies_are_the_generators(spark):
     for row in generated_bodies(spark, "/root/testdata/sf0.001").limit(50).collect():
         assert row.body.encode() == dumps(generated_body(row.event_id))
+
+
+def test_segments_are_streamed_by_tasks(spark, tmp_path):
+    """What is appended between batches comes once, in partitions of one segment; a torn tail waits."""
+    folder = str(tmp_path / "led")
+    os.makedirs(folder)
+    writer = generate(folder, 200, 4096, 16)
+    spark.dataSource.register(TapeStreamSource)
+    stream = spark.readStream.format("quillfold_tape").option("path", folder).load()
+    query = stream.writeStream.format("memory").queryName("whole").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    more = LedgerWriter(folder, 4096, sync=False)
+    for i in range(50):
+        more.stage("tick", {"cadence_rule": f"x{i}"})
+    more.commit()
+    path = os.path.join(folder, segment_name(segments(folder)[-1]))
+    with open(path, "ab") as f:
+        f.write(b'{"pos":')
+    query.processAllAvailable()
+    query.stop()
+    want = sorted((r.pos, r.line_no, r.h) for r in scan_tape(spark, folder).where("scan_reason is null").collect())
+    assert sorted((r.pos, r.line_no, r.h) for r in spark.table("whole").collect()) == want and len(want) > writer.next_pos
+    reader = TapePartitionReader(folder)
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [p.first for p in parts] == segments(folder) and reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
