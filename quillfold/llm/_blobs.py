@@ -40,3 +40,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising 64-bit integers as differences of six bytes; those that need more follow with their places."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    large = np.flatnonzero(steps >> np.uint64(48))
+    head = np.array([len(keys), len(large)], "<u8").tobytes()
+    return head + pack(steps, 6) + large.astype("<u8").tobytes() + steps[large].astype("<u8").tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    n, m = np.frombuffer(blob, "<u8", 2).tolist()
+    steps = unpack(blob[16 : 16 + 6 * n], 6)
+    large = np.frombuffer(blob, "<u8", 2 * m, 16 + 6 * n)
+    steps[large[:m].astype(np.int64)] = large[m:]
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the keys' own, the buckets that have keys, and where each one's begin and end."""
+    bucket = keys % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    return order, bucket[cuts].astype(np.int64), np.append(cuts, len(bucket))

@@ -1,11 +1,17 @@
-"""What the operators share: checkpoints, worker paths and text columns."""
+"""What the operators share: checkpoints, worker paths and memory, text columns."""
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
+import weakref
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +19,82 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Bytes of keys and values that a worker's mapping keeps before it starts anew.
+KEEP_BYTES = 16 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+class Kept(dict):
+    """A mapping that computes what is missing. It starts anew at ``KEEP_BYTES``, and is emptied when a task ends."""
+
+    every: list[weakref.ref] = []
+
+    def __init__(self, make: Callable | None):
+        self.make, self.bytes = make, 0
+        Kept.every.append(weakref.ref(self, Kept.every.remove))
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0
+
+    def __missing__(self, key):
+        self.bound()
+        value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def bound(self) -> None:
+        if self.bytes >= KEEP_BYTES:
+            self.clear()
+
+    def put(self, key, value) -> None:
+        self[key] = value
+        self.bytes += 100 + sys.getsizeof(key) + sys.getsizeof(value)
+
+
+def release() -> None:
+    """Workers outlive their tasks: empties what they keep, and gives free memory back to the system."""
+    for one in Kept.every:
+        if (kept := one()) is not None:
+            kept.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """For functions over a task's batches: the worker is small again when they end."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def frugal_group(run: Callable) -> Callable:
+    """The same for functions of one or two arguments over groups of several MB."""
+
+    def freed(*of) -> pa.Table:
+        try:
+            return run(*of)
+        finally:
+            release()
+
+    return (lambda one: freed(one)) if run.__code__.co_argcount == 1 else (lambda one, other: freed(one, other))
+
+
+#: Rows that go to a Python worker together; texts are long, so Spark's own number would be hundreds of MB.
+ARROW_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it isn't installed on them."""
+    """Lets Python workers import this package when it isn't installed on them, and keeps their batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, ARROW_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]

@@ -8,8 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries that an encoder keeps before it starts anew: some 50 MB.
-KEEP = 200_000
+from ._runtime import Kept
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -28,19 +27,6 @@ def packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-class Kept(dict):
-    """A mapping that computes what is missing; it starts anew when it has ``KEEP`` entries."""
-
-    def __init__(self, make: Callable):
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= KEEP:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
-
-
 class Unclean(Exception):
     """A part that may share a white-space run with its neighbour."""
 

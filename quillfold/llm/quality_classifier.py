@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
-from operator import eq
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache, lru_cache
 from typing import NamedTuple
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import partitions, prepare, text_of
+from ._blobs import mixed
+from ._runtime import frugal, partitions, prepare, text_of
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 4000
@@ -38,8 +40,10 @@ VOCABULARY, HASHED = 30_000, 4096
 DIMENSION, NONZERO, NEAR = 64, 6, 2
 #: Tokens whose pairs are sorted at once, and rows of context sums that go together.
 PAIRED, BLOCK = 1 << 20, 64
-#: Distinct tokens that a task keeps before it starts anew: some 100 MB. Buckets of a doubling of the frequency.
-KEEP, STEPS = 600_000, 64
+#: Distinct tokens that a task keeps before it starts anew: some 50 MB. Characters that are parsed together.
+KEEP, TOGETHER = 300_000, 1 << 17
+#: Buckets of a doubling of the frequency.
+STEPS = 64
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 3e-3
 #: Standardised inputs are kept within so many deviations, so what the sample lacks can't decide alone.
 REACH = 4.0
@@ -49,6 +53,13 @@ THRESHOLD = 0.3
 
 AGAIN = "mark:again"
 _tokens = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+").findall
+SPACE, LETTER, NUMBER, MARK = range(4)
+#: Code points from here on are marks: tags, selectors, private use.
+PLANES = 0x33480
+#: Bits of a hash that find its place among the words.
+SLOTS = 18
+_FACTOR = 0x9E3779B97F4A7C15
+_LETTERS = [f"{case}{size}" for case in ("lower", "title", "upper") for size in range(5)]
 
 
 def _shape(token: str) -> str:
@@ -57,32 +68,165 @@ def _shape(token: str) -> str:
     return ("upper" if len(token) > 1 and token.isupper() else "title" if token[0].isupper() else "lower") + str(min(len(token), 12) // 3)
 
 
+def _lower(c: str) -> str:
+    return low if len(low := c.lower()) == 1 else c
+
+
 def features(text: str) -> list[str]:
-    """The text's tokens in lower case, each followed by its shape, and by ``AGAIN`` if it is the one before once more."""
+    """The text's tokens in lower case (character by character), each followed by its shape, and by ``AGAIN`` if it is the one before once more."""
     found, before = [], None
     for t in _tokens(text):
-        found += (t.lower(), _shape(t)) if t != before else (t.lower(), _shape(t), AGAIN)
+        low = "".join(map(_lower, t))
+        found += (low, _shape(t)) if t != before else (low, _shape(t), AGAIN)
         before = t
     return found
 
 
-class Codes(dict):
-    """The rows of a token, in the upper bits, and of its shape, in the lower ``SHIFT`` bits, by ``row`` of a text."""
-
-    SHIFT = 16
-
-    def __init__(self, row: Callable[[str], int]):
-        self.row = row
+@lru_cache(maxsize=1)
+def _alphabet() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each code point its kind, its lower case, whether it is upper case (1) or else cased (2), and whether it is a digit."""
+    every = [chr(i) for i in range(PLANES)]
+    kinds = {"L": LETTER, "N": NUMBER}
+    kind = np.array([kinds.get(category(c)[0], MARK) for c in every], np.uint8)
+    kind[[ord(c) for c in regex.findall(r"\s", "".join(every))]] = SPACE
+    case = np.array([1 if c.isupper() else 2 if c.islower() or c.istitle() else 0 for c in every], np.uint8)
+    return kind, np.array([ord(_lower(c)) for c in every], np.uint64), case, np.array([c.isdigit() for c in every])
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a factor and of its inverse modulo 2^64."""
+    both = []
+    for base in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        power = np.full(size, base, np.uint64)
+        power[:1] = 1
+        both.append(np.multiply.accumulate(power))
+    return tuple(both)
+
+
+class Block(NamedTuple):
+    """Tokens of some texts: what they were found in, where they begin and end, hashes of their lower case, codes of their shapes, the place of each one's text, and whether it is the one before once more."""
+
+    text: str
+    begin: np.ndarray
+    stop: np.ndarray
+    hashes: np.ndarray
+    shapes: np.ndarray
+    of: np.ndarray
+    again: np.ndarray
+
+
+def _found(texts: list[str], of: list[int], tail: tuple[int, str]) -> Block:
+    """``tail`` is a token and the place of the text that it ends a part of."""
+    text = "\n".join(texts)
+    kind, lower, case, digit = _alphabet()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    points = np.where(points < PLANES, points, PLANES - 1)  # an unassigned one, a mark
+    kinds = kind[points]
+    edge = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])[: len(kinds)])
+    ends = np.append(edge[1:], len(kinds))[: len(edge)]
+    some = kinds[edge] != SPACE
+    begin, stop = edge[some], ends[some]
+    factor, back = _powers(max(TOGETHER, 1 << (len(points) + 1).bit_length()))
+    total = np.append(np.uint64(0), np.cumsum(lower[points] * factor[: len(points)], dtype=np.uint64))
+    size = stop - begin
+    hashes = mixed((total[stop] - total[begin]) * back[begin] + mixed(size.astype(np.uint64)))
+    own = kinds[begin]
+    first = points[begin]
+    second = np.where(size > 1, points[np.minimum(begin + 1, len(points) - 1)], 0)
+    if len(begin):
+        cases = case[points]
+        upper = (np.add.reduceat((cases == 1).astype(np.int32), begin) > 0) & (np.add.reduceat((cases == 2).astype(np.int32), begin) == 0) & (size > 1)
+    else:
+        upper = np.zeros(0, bool)
+    shapes = np.where(upper, 10, np.where(case[first] == 1, 5, 0)) + np.minimum(size, 12) // 3
+    shapes = np.where(own == LETTER, shapes, np.where(digit[first] & (own == NUMBER), len(_LETTERS), 64 + (first.astype(np.int64) << 21) + second))
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    place = np.array(of, np.int64)[np.searchsorted(bounds, begin, side="right")]
+    again = np.zeros(len(begin), bool)
+    same = 1 + np.flatnonzero((hashes[1:] == hashes[:-1]) & (place[1:] == place[:-1]))
+    again[same] = [text[begin[i] : stop[i]] == text[begin[i - 1] : stop[i - 1]] for i in same.tolist()]
+    if len(place) and place[0] == tail[0]:
+        again[0] = text[begin[0] : stop[0]] == tail[1]
+    return Block(text, begin, stop, hashes, shapes, place, again)
+
+
+def blocks(texts: Iterable[str]) -> Iterator[Block]:
+    """The tokens of texts, some ``TOGETHER`` characters at a time; long texts are cut at spaces, so no token is."""
+    waiting, of, size, tail = [], [], 0, (-1, "")
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            stop = at + TOGETHER
+            while stop < len(text) and (cut := max(text.rfind(" ", at, stop), text.rfind("\n", at, stop))) <= at:
+                stop += stop - at
+            stop = min(len(text), stop) if stop >= len(text) else cut
+            waiting.append(text[at:stop])
+            of.append(k)
+            size, at = size + stop - at, stop
+            if size >= TOGETHER:
+                yield (block := _found(waiting, of, tail))
+                if len(block.of):
+                    tail = int(block.of[-1]), block.text[block.begin[-1] : block.stop[-1]]
+                waiting, of, size = [], [], 0
+    if waiting:
+        yield _found(waiting, of, tail)
+
+
+def shape_name(code: int) -> str:
+    if code <= len(_LETTERS):
+        return "digits" if code == len(_LETTERS) else _LETTERS[code]
+    first, second = divmod(code - 64, 1 << 21)
+    return "mark:" + chr(first) + (chr(second) if second else "")
+
+
+def token_hashes(words: list[str]) -> np.ndarray:
+    """As the hashes of blocks; 0 for what is no token."""
+    out = np.zeros(len(words), np.uint64)
+    for low in range(0, len(words), 4096):
+        found = _found(words[low : low + 4096], list(range(low, min(len(words), low + 4096))), (-1, ""))
+        alone = np.bincount(found.of, minlength=len(words))[found.of] == 1
+        out[found.of[alone]] = found.hashes[alone]
+    return out
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= KEEP:
-            self.clear()
-        self[token] = code = self.row(token.lower()) << self.SHIFT | self.row(_shape(token))
-        return code
 
-    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return codes >> self.SHIFT, codes & (1 << self.SHIFT) - 1
+class Rows:
+    """Rows of features: ``words`` have their own, others what ``rest`` makes of hashes."""
+
+    def __init__(self, words: dict[str, int], rest: Callable[[np.ndarray], np.ndarray]):
+        self.words, self.rest = words, rest
+        hashes = token_hashes(list(words))
+        order = np.argsort(hashes)
+        self.known = np.append(hashes[order], np.uint64(0))
+        self.rows = np.append(np.array(list(words.values()), np.int64)[order], -1)
+        self.base = np.searchsorted(self.known[:-1] >> np.uint64(64 - SLOTS), np.arange(1 << SLOTS, dtype=np.uint64))
+        self.probes = int(np.bincount((self.known[:-1] >> np.uint64(64 - SLOTS)).astype(np.int64)).max()) if words else 0
+        self.again = self.of_name(AGAIN)
+
+    @cache  # noqa: B019
+    def of_name(self, name: str) -> int:
+        return self.words[name] if name in self.words else int(self.rest(_hashes([name]))[0])
+
+    def of_tokens(self, block: Block) -> np.ndarray:
+        found = self.rest(block.hashes)
+        base = self.base[(block.hashes >> np.uint64(64 - SLOTS)).astype(np.int64)]
+        for k in range(self.probes):
+            at = np.minimum(base + k, len(self.known) - 1)
+            hit = (self.known[at] == block.hashes) & (self.rows[at] >= 0)
+            found[hit] = self.rows[at[hit]]
+        return found
+
+    def of_shapes(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows, and the place of each token's shape among them."""
+        codes, place = np.unique(block.shapes, return_inverse=True)
+        return np.array([self.of_name(shape_name(c)) for c in codes.tolist()], np.int64), place
+
+    def sequence(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all features in order, and the place of each one's text."""
+        shapes, place = self.of_shapes(block)
+        rows = np.stack([self.of_tokens(block), shapes[place] if len(place) else place], axis=1).reshape(-1)
+        at = 2 * np.flatnonzero(block.again) + 2
+        return np.insert(rows, at, self.again), np.insert(np.repeat(block.of, 2), at, block.of[block.again])
 
 
 def fold(id_col: str | Column, folds: int = FOLDS) -> Column:
@@ -129,23 +273,35 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of a task's texts with their numbers. One text's tokens are held at a time."""
+    """Features of a task's texts with their numbers."""
+    known, times, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+    shapes: Counter[str] = Counter()
 
     def told() -> pa.RecordBatch:
-        counts: Counter[str] = Counter({AGAIN: again} if again else {})
-        for t, n in raw.items():
-            counts[t.lower()] += n
-            counts[_shape(t)] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-
-    raw, again = Counter(), 0
-    for text in _texts(batches):
-        tokens = _tokens(text)
-        raw.update(tokens)
-        again += sum(map(eq, tokens, tokens[1:]))
-        if len(raw) > KEEP:
+        return pa.RecordBatch.from_arrays([pa.array([*names.tolist(), *shapes], pa.string()), pa.array([*times.tolist(), *shapes.values()], pa.int64())], names=["token", "n"])
+
+    for block in blocks(_texts(batches)):
+        if again := int(block.again.sum()):
+            shapes[AGAIN] += again
+        codes, n = np.unique(block.shapes, return_counts=True)
+        for code, m in zip(codes.tolist(), n.tolist(), strict=True):
+            shapes[shape_name(code)] += m
+        fresh, first, n = np.unique(block.hashes, return_index=True, return_counts=True)
+        at = np.searchsorted(known, fresh)
+        old = np.zeros(len(fresh), bool)
+        if len(known):
+            old = known[np.minimum(at, len(known) - 1)] == fresh
+        times[at[old]] += n[old]
+        new, first = at[~old], first[~old]
+        text = block.text
+        plain = "\u0130" not in text and "\u03a3" not in text  # else lower() isn't character by character
+        words = [text[a:b].lower() if plain else "".join(map(_lower, text[a:b])) for a, b in zip(block.begin[first].tolist(), block.stop[first].tolist(), strict=True)]
+        known, times = np.insert(known, new, fresh[~old]), np.insert(times, new, n[~old])
+        names = np.insert(names, new, np.array([*words, None], object)[:-1])
+        if len(known) > KEEP:
             yield told()
-            raw, again = Counter(), 0
+            known, times, names = known[:0], times[:0], names[:0]
+            shapes.clear()
     yield told()
 
 
@@ -155,39 +311,42 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 def context_sums(texts: Iterator[str], words: list[str]) -> np.ndarray:
     """For each word the sum of the index vectors of the words within ``NEAR`` places of it, other tokens left out."""
-    at = {t: i for i, t in enumerate(words)}
     end = len(words)  # parts the texts
     other = end + 1
-    codes_of = Codes(lambda t: at.get(t, other))
+    kind = np.uint32 if other * other < 1 << 32 else np.uint64
+    rows_of = Rows({t: i for i, t in enumerate(words)}, lambda hashes: np.full(len(hashes), other))
     places, signs = index_parts(_hashes(words))
     sums = np.zeros(len(words) * DIMENSION)
 
     def add(ids: np.ndarray) -> None:
-        for low in range(0, len(ids), PAIRED):
-            part, codes = ids[low : low + PAIRED + NEAR], []
+        """The pairs that begin at all but the last ``NEAR`` places."""
+        for low in range(0, len(ids) - NEAR, PAIRED):
+            high, codes = min(len(ids) - NEAR, low + PAIRED), []
             for step in range(1, NEAR + 1):
-                a = part[:-step][:PAIRED]
-                b = part[step:][: len(a)]
-                codes.append((a * (end + 1) + b)[(a < end) & (b < end)])
+                a, b = ids[low:high], ids[low + step : high + step]
+                some = (a < end) & (b < end)
+                codes.append(a[some] * kind(end + 1) + b[some])
             pairs, n = np.unique(np.concatenate(codes), return_counts=True)
-            a, b = np.divmod(pairs, end + 1)
+            a, b = np.divmod(pairs.astype(np.int64), end + 1)
             for x, y in ((a, b), (b, a)):
                 for k in range(NONZERO):
                     sums[:] += np.bincount(x * DIMENSION + places[y, k], weights=signs[y, k] * n, minlength=len(sums))
 
-    waiting, size = [], 0
-    for text in texts:
-        tokens = _tokens(text)
-        ids = np.full((len(tokens), 3), other, np.int64)
-        ids[:, 0], ids[:, 1] = codes_of.of(tokens)
-        ids[1:, 2][np.fromiter(map(eq, tokens, tokens[1:]), bool, max(len(tokens) - 1, 0))] = at.get(AGAIN, other)
-        waiting += [ids[ids < other], np.full(NEAR, end)]
-        size += len(waiting[-2]) + NEAR
+    waiting, size, last = [], 0, -1
+    for block in blocks(texts):
+        rows, of = rows_of.sequence(block)
+        known = rows < other
+        rows, of = rows[known], of[known]
+        if len(rows):
+            cuts = np.flatnonzero(np.append(last, of[:-1]) != of)
+            waiting.append(np.insert(rows, np.repeat(cuts, NEAR), end).astype(kind))
+            size, last = size + len(waiting[-1]), int(of[-1])
         if size >= PAIRED:
-            add(np.concatenate(waiting))
-            waiting, size = [], 0
+            ids = np.concatenate(waiting)
+            add(ids)
+            waiting, size = [ids[-NEAR:]], NEAR
     if waiting and words:
-        add(np.concatenate(waiting))
+        add(np.concatenate([*waiting, np.full(NEAR, end, kind)]))
     return sums.reshape(-1, DIMENSION).astype(np.int64)
 
 
@@ -208,7 +367,7 @@ def word_vectors(texts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     """Rows of the frequent tokens of a column ``text``, after HASHED rows for all others."""
     spark = texts.sparkSession
     prepare(spark)
-    counts = texts.mapInArrow(_counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    counts = texts.mapInArrow(frugal(_counted), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     # Tokens below the bucket of frequencies in which the last place falls are out; a few partitions sort the rest.
     step = F.floor(F.log2("n") * STEPS).alias("step")
     buckets = counts.groupBy(step).agg(F.count(F.lit(1)).alias("tokens"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
@@ -227,7 +386,7 @@ def word_vectors(texts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
         yield _blocks({i: x for i, x in parts.items() if x.any()})
 
     # A task adds up blocks as they come: its memory is that of the vocabulary.
-    summed = texts.mapInArrow(run, "block int, sums binary").repartition(partitions(spark), "block").mapInArrow(_added, "block int, sums binary")
+    summed = texts.mapInArrow(frugal(run), "block int, sums binary").repartition(partitions(spark), "block").mapInArrow(frugal(_added), "block int, sums binary")
     own = index_vectors(np.concatenate([np.arange(HASHED, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), _hashes(chosen)]))
     near = np.zeros(own.shape)
     for r in summed.collect():
@@ -238,26 +397,30 @@ def word_vectors(texts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     return {t: HASHED + i for i, t in enumerate(chosen)}, vectors.astype(np.float32)
 
 
-def _rows(words: dict[str, int]) -> Codes:
+def _rows(words: dict[str, int]) -> Rows:
     """The rows of a token and of its shape."""
-    return Codes(lambda t: words[t] if t in words else xxhash.xxh3_64_intdigest(t) % HASHED)
+    return Rows(words, lambda hashes: (hashes % np.uint64(HASHED)).astype(np.int64))
 
 
-def pooled(texts: Iterator[str], vectors: np.ndarray, rows: Codes) -> np.ndarray:
+def pooled(texts: list[str], vectors: np.ndarray, rows: Rows) -> np.ndarray:
     """Mean word vectors of texts, and the logarithm of the number of tokens; zeros for texts without tokens."""
-    out = []
-    for text in texts:
-        tokens = _tokens(text)
-        again = sum(map(eq, tokens, tokens[1:]))
-        ids = np.sort(np.concatenate([*rows.of(tokens), np.full(again, rows[AGAIN] >> Codes.SHIFT)]))
-        total = np.zeros(DIMENSION + 1)
-        if len(ids):
-            starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            times = np.diff(np.append(starts, len(ids)))
-            total[:-1] = times @ vectors[ids[starts]].astype(np.float64) / len(ids)
-            total[-1] = np.log1p(len(ids))
-        out.append(total)
-    return np.array(out).reshape(-1, DIMENSION + 1)
+    total, n = np.zeros((len(texts), DIMENSION + 1)), np.zeros(len(texts))
+    for block in blocks(texts):
+        if len(block.of):
+            starts = np.flatnonzero(np.append(True, block.of[1:] != block.of[:-1]))
+            own = block.of[starts]
+            each = vectors[rows.of_tokens(block)]
+            for k, a, b in zip(own.tolist(), starts.tolist(), [*starts[1:].tolist(), len(each)], strict=True):
+                total[k, :-1] += each[a:b].sum(axis=0, dtype=np.float64)
+            shapes, place = rows.of_shapes(block)
+            which = np.searchsorted(own, block.of)
+            times = np.bincount(which * len(shapes) + place, minlength=len(own) * len(shapes)).reshape(len(own), -1)
+            again = np.bincount(which, weights=block.again)
+            total[own, :-1] += times @ vectors[shapes].astype(np.float64) + again[:, None] * vectors[rows.again]
+            n[own] += 2 * times.sum(axis=1) + again
+    total[:, :-1] /= np.maximum(n, 1)[:, None]
+    total[:, -1] = np.log1p(n)
+    return total
 
 
 def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -336,10 +499,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         own_words, own = shared.value
         rows = _rows(own_words)
         for batch in batches:
-            x = pooled(_texts(iter([batch])), own, rows)
+            x = np.concatenate([pooled(batch.column("text").slice(at, 64).to_pylist(), own, rows) for at in range(0, batch.num_rows, 64)] or [np.zeros((0, DIMENSION + 1))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    found = sample(docs, labels, id_col, text_col, label_col, size).mapInArrow(run, "doc_id string, label double, x binary").collect()
+    found = sample(docs, labels, id_col, text_col, label_col, size).mapInArrow(frugal(run), "doc_id string, label double, x binary").collect()
     found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(r.doc_id), r.x))
     x = np.frombuffer(b"".join(r.x for r in found)).reshape(-1, DIMENSION + 1)
     return train(words, vectors, x, np.array([r.label for r in found], np.float64))
@@ -359,7 +522,7 @@ def with_scores(docs: DataFrame, model: Model, keep: list[str], text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(found) if found else [], pa.float64())], names=["row", "score"])
 
     schema = T.StructType([T.StructField("row", docs.select(keep).schema), T.StructField("score", T.DoubleType())])
-    return docs.select(F.struct(*keep).alias("row"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.struct(*keep).alias("row"), text_of(text_col).alias("text")).mapInArrow(frugal(run), schema)
 
 
 def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
