@@ -119,7 +119,7 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
 t AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 AS var FROM h),
 p AS (SELECT mean, CASE WHEN var <= 0 THEN 1e6 ELSE least(1e6, greatest(2.0, mean * (1 - mean) / var - 1)) END AS weight FROM t),
-v AS (SELECT source, (f + mean * weight) / (n + weight) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+v AS (SELECT source, (f + mean * weight) / (n + weight) AS rate, least(0.5, mean + sqrt(mean * (1 - mean) / (weight + 1))) AS most FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= most AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source""",
 }

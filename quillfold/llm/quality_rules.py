@@ -2,12 +2,15 @@
 
 A document fails by its own words. A host (the ``source`` column) fails by its documents: failures are summed
 by host, the rates of all hosts give a beta prior by the method of moments, and each host's rate is shrunk
-towards it, so hosts with few documents follow the corpus and hosts with many follow themselves. Verdicts on
-hosts are joined back to their documents.
+towards it, so hosts with few documents follow the corpus and hosts with many follow themselves. A host is rejected
+if its shrunken rate is above the prior's mean by more than ``HOST_DEVIATIONS`` of the prior's own standard
+deviations, or above ``HOST_THRESHOLD`` in any case: it stands out among the hosts, or most of it fails. Verdicts on
+hosts are joined back to their documents, and a rejected host takes its good documents along.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -16,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import SPACE, checkpointed, prepare, text_of
+from ._runtime import SPACE, checkpointed, frugal, prepare, text_of
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host is rejected if its shrunken failure rate is above this.
-HOST_THRESHOLD = 0.5
+#: A host is rejected if its shrunken failure rate is above this, or so many standard deviations above the mean of the prior.
+HOST_THRESHOLD, HOST_DEVIATIONS = 0.5, 1.0
 #: Least and most weight of the prior, in documents.
 PRIOR_WEIGHT = (2.0, 1e6)
 
@@ -68,7 +71,7 @@ def document_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     prepare(docs.sparkSession)
     kind = docs.select(id_col).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_measured, f"doc_id {kind}, host string, " + ", ".join(f"{x} long" for x in Measures._fields))
+    return rows.mapInArrow(frugal(_measured), f"doc_id {kind}, host string, " + ", ".join(f"{x} long" for x in Measures._fields))
 
 
 def beta_prior(mean: float, variance: float) -> tuple[float, float]:
@@ -78,11 +81,18 @@ def beta_prior(mean: float, variance: float) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = HOST_THRESHOLD) -> DataFrame:
+def host_limit(a: float, b: float, threshold: float = HOST_THRESHOLD, deviations: float = HOST_DEVIATIONS) -> float:
+    """The highest rate of a host that is kept, for the beta prior's parameters."""
+    mean = a / (a + b)
+    return min(threshold, mean + deviations * math.sqrt(mean * (1 - mean) / (a + b + 1)))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = HOST_THRESHOLD, deviations: float = HOST_DEVIATIONS) -> DataFrame:
     """doc_id, the five measures, base_failed, kept, host and host_rate for every row of ``docs``.
 
     Null text is empty and fails. A null host is a host of its own. Repeated rows are judged and counted as
-    often as given. An empty table gives no rows. Other columns are ignored, whatever their names.
+    often as given. A host whose rate is exactly at its limit is kept. A very long text is measured whole, by one
+    task. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = checkpointed(document_measures(docs, id_col, text_col, host_col).withColumn("base_failed", failed))
@@ -91,6 +101,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n, f, squares = (float(x or 0) for x in total)
     mean = f / n if n else 0.0
     a, b = beta_prior(mean, squares / n - mean * mean if n else 0.0)
+    limit = host_limit(a, b, threshold, deviations)
     rates = hosts.select(F.col("host").alias("of_host"), ((F.col("f") + F.lit(a)) / (F.col("n") + F.lit(a + b))).alias("host_rate"))
     found = rows.join(rates, F.col("host").eqNullSafe(F.col("of_host")), "left")
-    return found.select("doc_id", *Measures._fields, "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= threshold)).alias("kept"), "host", "host_rate")
+    return found.select("doc_id", *Measures._fields, "base_failed", (~F.col("base_failed") & (F.col("host_rate") <= limit)).alias("kept"), "host", "host_rate")
