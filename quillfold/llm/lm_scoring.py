@@ -7,9 +7,10 @@ likeliest. It runs on the counts of what the deleted tokens look like: the conte
 c(w), in steps of an eighth of an octave, so on a table whose size doesn't follow the corpus.
 
 Nothing of the corpus is gathered in one place. Batches of documents send their distinct words and bigrams
-with counts to buckets by hash; a bucket adds them up and answers each batch with what it asked for. Words are
-told apart by 64 bits, bigrams inside a bucket by 40: of 10^6 bigrams about one shares its count with another.
-The plan is one: documents and answers are each shuffled once, and the exchanges are used again.
+with counts to buckets by hash; a bucket adds them up and answers each batch with what it asked for. Words and
+bigrams are told apart by 64 bits. A batch has work and rows for the buckets that it has keys of only, so never more
+than it has distinct keys, however many buckets there are. Each context bucket's weights are fitted by a task of
+their own. The plan is one: documents and answers are each shuffled once, and the exchanges are used again.
 """
 
 from __future__ import annotations
@@ -20,17 +21,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._blobs import joined, mixed, pack, unpack
-from ._runtime import partitions, prepare, text_bytes, text_of
-from ._vocab import Kept
+from ._blobs import by_bucket, mixed, pack_sorted, unpack_sorted
+from ._runtime import Kept, frugal, frugal_group, partitions, prepare, text_bytes, text_of
 
 #: crc32 of the id modulo FOLDS: HELD_OUT isn't learned from, DELETED fits the weights.
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
-CODE = 5
 STEPS = 8
 ROUNDS = 60
+#: Buckets of contexts: unseen ones, then by octave of the frequency.
+CONTEXTS = 64
 KEPT, GONE, HELD = 0, 1, 2
 
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"\n</s>"))
@@ -86,13 +87,6 @@ def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
     return counts
 
 
-def bucket_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of sorted keys by bucket, and where each bucket's begin."""
-    bucket = keys % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-
-
 ASKED = "batch long, bucket long, words binary, word_counts binary, word_large binary, bigrams binary, bigram_counts binary, bigram_large binary"
 ANSWER = "batch long, bucket long, word_counts binary, word_large binary, bigram_counts binary, bigram_large binary, kept_words binary, kept_words_large binary, kept_bigrams binary, kept_bigrams_large binary"
 
@@ -100,25 +94,22 @@ ANSWER = "batch long, bucket long, word_counts binary, word_large binary, bigram
 
 def _arrow(schema: str, rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema.split(", "))
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.table({c.split()[0]: pa.array(v, kinds[c.split()[1]]) for c, v in zip(schema.split(", "), columns, strict=True)})
 
 
 def _asked(rows: pa.Table, buckets: int) -> pa.Table:
     tokens = Tokens(rows.column("text").to_pylist())
     batch = rows.column("batch")[0].as_py()
-    words, bigrams = tokens.counts()
-    by_word, word_cuts = bucket_order(tokens.words, buckets)
-    by_pair, pair_cuts = bucket_order(tokens.bigrams, buckets)
-    code = tokens.bigrams >> np.uint64(8 * (8 - CODE))
-    out = []
-    for b in range(buckets):
-        w, p = by_word[word_cuts[b] : word_cuts[b + 1]], by_pair[pair_cuts[b] : pair_cuts[b + 1]]
-        if len(w) or len(p):
-            none = batch % 3 == HELD
-            counts = (b"", b"", b"", b"") if none else (*pack_counts(words[w]), *pack_counts(bigrams[p]))
-            out.append((batch, b, pack(tokens.words[w]), *counts[:2], pack(code[p], CODE), *counts[2:]))
-    return _arrow(ASKED, out)
+    none = (b"", b"")
+    parts: dict[int, list] = {}
+    for k, (keys, counts) in enumerate(zip((tokens.words, tokens.bigrams), tokens.counts(), strict=True)):
+        order, used, cuts = by_bucket(keys, buckets)
+        for i, b in enumerate(used.tolist()):
+            at = order[cuts[i] : cuts[i + 1]]
+            own = parts.setdefault(b, [pack_sorted(keys[:0]), none, pack_sorted(keys[:0]), none])
+            own[2 * k : 2 * k + 2] = pack_sorted(keys[at]), none if batch % 3 == HELD else pack_counts(counts[at])
+    return _arrow(ASKED, [(batch, b, words, *n, bigrams, *m) for b, (words, n, bigrams, m) in parts.items()])
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray], batches: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,17 +123,17 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray], batches: list[int])
 
 
 def _answers(rows: pa.Table) -> pa.Table:
-    """For each batch of a bucket its counts; the bucket's totals stand in a row with batch -1."""
+    """For each batch of a bucket its counts; the bucket's totals stand in a row with a batch below 0."""
     data = rows.to_pydict()
     batches, bucket = data["batch"], data["bucket"][0]
     counted = lambda kind: [unpack_counts(a, b) for a, b in zip(data[f"{kind}_counts"], data[f"{kind}_large"], strict=True)]
-    words = [unpack(x) for x in data["words"]]
-    pairs = [unpack(x, CODE) for x in data["bigrams"]]
+    words = [unpack_sorted(x) for x in data["words"]]
+    pairs = [unpack_sorted(x) for x in data["bigrams"]]
     distinct, word_at, word_n, word_kept = _added(words, counted("word"), batches)
     _, pair_at, pair_n, pair_kept = _added(pairs, counted("bigram"), batches)
     own = distinct != _START
     totals = [int(x) for x in (word_n[own].sum(), (word_n[own] > 0).sum(), word_kept[own].sum(), (word_kept[own] > 0).sum())]
-    out = [(-1, bucket, np.array(totals, "<i8").tobytes(), *[b""] * 7)]
+    out = [(-1 - bucket % CONTEXTS, bucket, np.array(totals, "<i8").tobytes(), *[b""] * 7)]
     i = j = 0
     for batch, w, p in zip(batches, map(len, words), map(len, pairs), strict=True):
         a, b = word_at[i : i + w], pair_at[j : j + p]
@@ -153,12 +144,12 @@ def _answers(rows: pa.Table) -> pa.Table:
 
 
 def _told(keys: np.ndarray, buckets: int, answers: dict[int, dict], kind: str) -> np.ndarray:
-    order, cuts = bucket_order(keys, buckets)
+    order, used, cuts = by_bucket(keys, buckets)
     counts = np.zeros(len(keys), np.int64)
     small, large = kind, kind.replace("_counts", "_large") if "counts" in kind else f"{kind}_large"
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
+    for i, b in enumerate(used.tolist()):
         row = answers[b]
-        counts[order[cuts[b] : cuts[b + 1]]] = unpack_counts(row[small], row[large])
+        counts[order[cuts[i] : cuts[i + 1]]] = unpack_counts(row[small], row[large])
     return counts
 
 
@@ -167,10 +158,13 @@ def context_bucket(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, np.floor(np.log2(np.maximum(counts, 1))) + 1, 0).astype(np.int64)
 
 
+CELLS = "context long, cell long, n long"
+
+
 def _cells(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """What the deleted tokens look like to the kept counts."""
     if not answers.num_rows or rows.column("batch")[0].as_py() % 3 != GONE:
-        return _arrow("cell long, n long", [])
+        return _arrow(CELLS, [])
     tokens = Tokens(rows.column("text").to_pylist())
     told = {r["bucket"]: r for r in answers.to_pylist()}
     words, pairs = _told(tokens.words, buckets, told, "kept_words"), _told(tokens.bigrams, buckets, told, "kept_bigrams")
@@ -179,39 +173,55 @@ def _cells(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     ratio = np.where(pair > 0, 1 + np.maximum(0, octaves(np.maximum(context, 1) / np.maximum(pair, 1))), 0)
     often = np.where(word > 0, 1 + octaves(np.maximum(word, 1)), 0)
     cell, n = np.unique((context_bucket(context) << 32) + (ratio << 16) + often, return_counts=True)
-    return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
+    return pa.table({"context": pa.array(cell >> 32), "cell": pa.array(cell), "n": pa.array(n)})
 
 
-def mixture_weights(cells: np.ndarray, n: np.ndarray, total: int, distinct: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of bigram, unigram and floor for 64 context buckets, by expectation-maximisation."""
-    bucket, ratio, often = cells >> 32, (cells >> 16) & 0xFFFF, cells & 0xFFFF
+def context_weights(cells: np.ndarray, n: np.ndarray, total: int, distinct: int, unseen: bool, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of bigram, unigram and floor for the contexts of one bucket, by expectation-maximisation. After an ``unseen`` context there is no bigram."""
+    ratio, often = (cells >> 16) & 0xFFFF, cells & 0xFFFF
     p = np.zeros((len(cells), 3))
     p[:, 0] = np.where(ratio > 0, 2.0 ** (-(ratio - 1) / STEPS), 0)
     p[:, 1] = np.where(often > 0, 2.0 ** ((often - 1) / STEPS) / max(1, total), 0)
     p[:, 2] = 1 / (distinct + 1)
-    weights = np.tile([1 / 3, 1 / 3, 1 / 3], (64, 1))
-    weights[0] = 0, 0.5, 0.5
-    seen = np.bincount(bucket, weights=n, minlength=64)
+    weights = np.array([0, 0.5, 0.5]) if unseen else np.full(3, 1 / 3)
     for _ in range(rounds):
-        part = p * weights[bucket]
+        part = p * weights
         part *= (n / part.sum(axis=1))[:, None]
         # One pseudo-count for each keeps a weight above 0, so no text has probability 0.
-        new = np.stack([np.bincount(bucket, weights=part[:, k], minlength=64) for k in range(3)], axis=1) + (np.arange(64)[:, None] > 0) * np.array([1, 0, 0]) + np.array([0, 1, 1])
-        weights = new / new.sum(axis=1, keepdims=True)
-    known = seen > 0
-    for b in range(1, 64):  # buckets without deleted tokens follow the one below
-        if not known[b] and known[1:b].any():
-            weights[b] = weights[b - 1]
+        new = part.sum(axis=0) + np.array([0 if unseen else 1, 1, 1])
+        weights = new / new.sum()
     return weights
 
 
+def mixture_weights(cells: np.ndarray, n: np.ndarray, total: int, distinct: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Those of all CONTEXTS buckets. Buckets without deleted tokens follow the one below that has some, if there is one."""
+    return _followed({int(b): context_weights(cells[cells >> 32 == b], n[cells >> 32 == b], total, distinct, b == 0, rounds) for b in np.unique(cells >> 32)})
+
+
+def _followed(fitted: dict[int, np.ndarray]) -> np.ndarray:
+    none = np.zeros(0, np.int64)
+    weights = np.stack([context_weights(none, none, 0, 0, b == 0, 1) for b in range(CONTEXTS)])
+    last = None
+    for b in range(CONTEXTS):
+        if b in fitted:
+            weights[b] = fitted[b]
+            last = b if b else None
+        elif last is not None:
+            weights[b] = weights[last]
+    return weights
+
+
+FITTED = "context long, n long, v long, seen boolean, bigram double, unigram double, floor double"
+
+
 def _fitted(rows: pa.Table) -> pa.Table:
-    """Totals and weights from the table of cells; totals are cells below 0."""
+    """The weights of a context bucket, from its cells; the totals are cells below 0."""
     cell, n = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
-    totals = {c: int(v) for c, v in zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True)}
+    context = rows.column("context")[0].as_py()
+    totals = dict(zip(cell[cell < 0].tolist(), n[cell < 0].tolist(), strict=True))
     real = cell >= 0
-    weights = mixture_weights(cell[real], n[real].astype(float), totals.get(-3, 0), totals.get(-4, 0))
-    return pa.table({"n": [totals.get(-1, 0)], "v": [totals.get(-2, 0)], "weights": pa.array([weights.astype("<f8").tobytes()], pa.binary())})
+    found = context_weights(cell[real], n[real].astype(float), totals.get(-3, 0), totals.get(-4, 0), context == 0)
+    return _arrow(FITTED, [(context, totals.get(-1, 0), totals.get(-2, 0), bool(real.any()), *found.tolist())])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -220,9 +230,9 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _scored(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     tokens = Tokens(rows.column("text").to_pylist())
     told = {r["bucket"]: r for r in answers.to_pylist()}
-    model = told.pop(-1)
-    total, distinct = (int(x) for x in np.frombuffer(model["word_large"], "<i8"))
-    weights = np.frombuffer(model["word_counts"], "<f8").reshape(64, 3)
+    model = np.frombuffer(told.pop(-1)["word_counts"], "<f8").reshape(CONTEXTS, 6)
+    total, distinct = (int(x) for x in model[0, :2].view("<i8"))
+    weights = _followed({b: row[3:] for b, row in enumerate(model) if row[2]})
     words, pairs = _told(tokens.words, buckets, told, "word_counts"), _told(tokens.bigrams, buckets, told, "bigram_counts")
     context, word, pair = words[tokens.before], words[tokens.place], pairs[tokens.pair]
     by_doc = lambda x: np.bincount(tokens.doc, weights=x, minlength=tokens.texts)
@@ -250,7 +260,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     A-Z is lower-cased; tokens are words parted by ASCII white space, then one end. Null text counts as empty
     and has its end. A null id counts as the empty text for the fold. Repeated rows are learned from and
     scored as often as given; other columns are ignored. Without training rows N and V are 0 and scores are
-    those of the floor. An empty table gives no rows.
+    those of the floor. A very long text is in one batch, as a whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -261,35 +271,39 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     kind = F.when(rest == HELD_OUT, HELD).when(rest == DELETED, GONE).otherwise(KEPT)
     count = F.when(kind == KEPT, each[KEPT]).when(kind == GONE, each[GONE]).otherwise(each[HELD])
     # The fold is by crc32, so the batch must be by another hash.
-    rows = docs.select((F.pmod(F.xxhash64(F.col(id_col)), count) * 3 + kind).cast("long").alias("batch"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    rows = docs.select((F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), count) * 3 + kind).cast("long").alias("batch"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     by_batch = rows.groupBy("batch")
-    asked = by_batch.applyInArrow(lambda t: _asked(t, buckets), ASKED)
-    answers = asked.groupBy("bucket").applyInArrow(_answers, ANSWER)
+    asked = by_batch.applyInArrow(frugal_group(lambda t: _asked(t, buckets)), ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(frugal_group(_answers), ANSWER)
     own = answers.repartition(partitions(spark), "batch")
-    cells = by_batch.cogroup(own.groupBy("batch")).applyInArrow(lambda t, a: _cells(t, a, buckets) if t.num_rows else _totals(a), "cell long, n long")
-    table = cells.groupBy("cell").agg(F.sum("n").alias("n"))
-    model = table.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda t: _fitted(t.select(["cell", "n"])), "n long, v long, weights binary")
+    cells = by_batch.cogroup(own.groupBy("batch")).applyInArrow(frugal_group(lambda t, a: _cells(t, a, buckets) if t.num_rows else _totals(a)), CELLS)
+    table = cells.groupBy("context", "cell").agg(F.sum("n").alias("n"))
+    fitted = table.groupBy("context").applyInArrow(_fitted, FITTED)
+    # One row of CONTEXTS entries; every batch gets it.
+    model = fitted.groupBy().applyInArrow(_packed_model, "model binary")
     batches = F.concat(*[F.sequence(F.lit(k).cast("long"), F.lit(3 * (e - 1) + k).cast("long"), F.lit(3).cast("long")) for k, e in enumerate(each)])
     blank = F.lit(b"")
-    totals = F.unhex(F.concat(*[_little_hex(c) for c in ("n", "v")]))
-    to_all = model.select(F.explode(batches).alias("batch"), F.lit(-1).cast("long").alias("bucket"), F.col("weights").alias("word_counts"), totals.alias("word_large"), *[blank.alias(c.split()[0]) for c in ANSWER.split(", ")[4:]])
+    to_all = model.select(F.explode(batches).alias("batch"), F.lit(-1).cast("long").alias("bucket"), F.col("model").alias("word_counts"), *[blank.alias(c.split()[0]) for c in ANSWER.split(", ")[3:]])
     right = own.unionByName(to_all)
-    return by_batch.cogroup(right.groupBy("batch")).applyInArrow(lambda t, a: _scored(t, a, buckets) if t.num_rows else _arrow_scored(), SCORED)
+    return by_batch.cogroup(right.groupBy("batch")).applyInArrow(frugal_group(lambda t, a: _scored(t, a, buckets) if t.num_rows else _arrow_scored()), SCORED)
 
 
-def _little_hex(column: str) -> Column:
-    """The 16 digits of a long as little-endian bytes."""
-    digits = F.lpad(F.hex(F.col(column)), 16, "0")
-    return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])
+def _packed_model(rows: pa.Table) -> pa.Table:
+    """For each context bucket N and V (as integers), whether it was fitted, and its weights."""
+    out = np.zeros((CONTEXTS, 6))
+    for r in rows.to_pylist():
+        out[r["context"], :2] = np.array([r["n"], r["v"]], "<i8").view("<f8")
+        out[r["context"], 2:] = r["seen"], r["bigram"], r["unigram"], r["floor"]
+    return pa.table({"model": pa.array([out.tobytes()], pa.binary())})
 
 
 def _totals(answers: pa.Table) -> pa.Table:
-    """The totals' rows (batch -1) as cells -1 to -4."""
+    """The totals' rows (batches below 0) as cells -1 to -4 of every context bucket."""
     sums = np.zeros(4, np.int64)
     for blob, batch in zip(answers.column("word_counts").to_pylist(), answers.column("batch").to_pylist(), strict=True):
-        if batch == -1:
+        if batch < 0:
             sums += np.frombuffer(blob, "<i8")
-    return pa.table({"cell": pa.array([-1, -2, -3, -4], pa.int64()), "n": pa.array(sums)})
+    return _arrow(CELLS, [(b, -1 - i, int(n)) for b in range(CONTEXTS) for i, n in enumerate(sums)])
 
 
 def _arrow_scored() -> pa.Table:
