@@ -14,8 +14,13 @@ one in 25 bytes. The steps, over batches of documents and buckets of anchor hash
    offset are equal if their contexts share enough in both suffix arrays; all but the first place are repeats.
 5. batch: cut the repeats out.
 
-What a hot string sends to its bucket is one row for each batch and distinct context, however often it occurs. The
-documents are shuffled by batch once; steps 1, 3 and 5 reuse that exchange.
+What a hot string sends to its bucket is one row for each batch and distinct context, however often it occurs. A batch
+has work and rows for the buckets that it has anchors of only. The documents are shuffled by batch once; steps 1, 3
+and 5 reuse that exchange.
+
+Contexts of one string that occurs in a single context are taken for equal if the 64-bit hashes of the string and the
+63-bit digests of the contexts agree: of 10^12 pairs of unequal ones, one in 10^25 would. Where a string has several
+contexts, bytes decide.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blobs import joined, lengths, mixed, pack, table, unpack
-from ._runtime import partitions, prepare, text_bytes, text_of
+from ._blobs import by_bucket, joined, lengths, mixed, pack, table
+from ._runtime import frugal_group, partitions, prepare, text_bytes, text_of
 from .deep_shallow import deep_shallow
 
 LENGTH = 100
@@ -118,7 +123,8 @@ class Batch:
         if not found:
             none = np.zeros(0, np.int64)
             return none, none, none.astype(np.uint64), none.astype(np.uint64)
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        at, doc, hashes, context = (np.concatenate(x) for x in zip(*found, strict=True))
+        return at, doc, hashes, context >> np.uint64(1)
 
     def contexts(self, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes around the anchors, zero outside the document, and how many are inside on the left and right."""
@@ -142,31 +148,27 @@ def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ANSWER = "batch long, single binary, several binary"
 REQUEST = "batch long, bucket long, hashes binary, contexts binary"
 CODE = 5  # bytes of a hash that are sent to its bucket; more occurrences than there are cost time only
-SEEN = 6  # bytes of a context digest, one bit less, in the first request
 
 
 def _requests(rows: pa.Table, buckets: int) -> pa.Table:
     """Step 1."""
     _, _, hashes, contexts = Batch(rows).anchors()
-    contexts &= np.uint64((1 << 8 * SEEN - 1) - 1)
     order, new = _firsts(contexts, hashes)
     first = np.flatnonzero(new)
     twice = np.diff(np.append(first, len(order))) > 1
     hashes, contexts = hashes[order[first]], contexts[order[first]] * np.uint64(2) + twice.astype(np.uint64)
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(cuts))
-    code = hashes[by] >> np.uint64(8 * (8 - CODE))
+    by, used, cuts = by_bucket(hashes, buckets)
+    code, contexts = hashes[by] >> np.uint64(8 * (8 - CODE)), contexts[by]
+    parts = [slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     batch = rows.column("batch")[0].as_py()
-    return table(REQUEST, [[batch] * len(used), used.tolist(), [pack(code[cuts[b] : cuts[b + 1]], CODE) for b in used], [pack(contexts[by[cuts[b] : cuts[b + 1]]], SEEN) for b in used]])
+    return table(REQUEST, [[batch] * len(used), used.tolist(), [pack(code[k], CODE) for k in parts], [pack(contexts[k]) for k in parts]])
 
 
 def _answers(rows: pa.Table) -> pa.Table:
     """Step 2: of each batch, the codes that occur again, and whether in several contexts."""
     blobs = rows.column("hashes").to_pylist()
     code = joined(blobs, CODE)
-    seen = joined(rows.column("contexts").to_pylist(), SEEN)
+    seen = joined(rows.column("contexts").to_pylist())
     order, _ = _firsts(seen >> np.uint64(1), code)
     code_o, seen_o = code[order], seen[order]
     start = np.append(True, code_o[1:] != code_o[:-1])
@@ -227,11 +229,11 @@ def _first_places(rows: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if len(again):
         out.append((number, number % buckets, b"", b"", b"", pack(doc[again], 4), pack(place[again], 4), sizes[again].tobytes(), b""))
     firsts = order[~later]
-    firsts = firsts[np.argsort(bucket[firsts], kind="stable")]
-    cuts = np.searchsorted(bucket[firsts], np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
+    by, used, cuts = by_bucket(bucket[firsts], buckets)
+    firsts = firsts[by]
+    for i, b in enumerate(used.tolist()):
         for some in (True, False):
-            k = firsts[cuts[b] : cuts[b + 1]]
+            k = firsts[cuts[i] : cuts[i + 1]]
             k = k[several[k] == some]
             if len(k):
                 near = batch.contexts(at[k], doc[k])[0].tobytes() if some else b""
@@ -293,8 +295,6 @@ def _repeats(rows: pa.Table) -> pa.Table:
         kinds = np.bincount(group, weights=new[~later])
         firsts, group = firsts[kinds[group] > 1], group[kinds[group] > 1]
         if len(firsts):
-            if not some[firsts].all():
-                raise ValueError("context digests met in the first request; use more bytes of them")
             by = np.lexsort((place[firsts], ids[firsts], group))
             firsts, group = firsts[by], np.unique(group[by], return_inverse=True)[1]
             row = np.cumsum(some) - 1
@@ -369,8 +369,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null text counts as empty. Ids are integers; "earlier" is by (id, start), and a null id comes after all
     others. Rows that repeat an id and text are one document given twice and have equal results; their
-    windows are no earlier than their own. Texts of under 100 bytes keep all. Columns not named are ignored.
-    An empty table gives no rows.
+    windows are no earlier than their own. Texts of under 100 bytes keep all. A very long text is in one batch, as
+    a whole. Columns not named are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -380,15 +380,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = max(1, min(1 << 24, max(partitions(spark), -(-total // bucket_bytes))))
     number = F.col(id_col).cast("long")
     rows = docs.select(
-        F.pmod(F.xxhash64(number), F.lit(batches)).alias("batch"),
+        F.pmod(F.xxhash64(number, F.col(text_col)), F.lit(batches)).alias("batch"),
         F.coalesce(number, F.lit((1 << 63) - 1)).alias("rank"),
         F.struct(*keep).alias("row"),
         text_of(text_col).cast("binary").alias("text"),
     )
     by_batch = rows.groupBy("batch")
-    requests = by_batch.applyInArrow(lambda t: _requests(t, buckets), REQUEST)
-    answers = requests.groupBy("bucket").applyInArrow(_answers, ANSWER)
-    firsts = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(lambda t, a: _first_places(t, a, buckets), FIRSTS)
-    spans = firsts.groupBy("bucket").applyInArrow(_repeats, SPAN)
+    requests = by_batch.applyInArrow(frugal_group(lambda t: _requests(t, buckets)), REQUEST)
+    answers = requests.groupBy("bucket").applyInArrow(frugal_group(_answers), ANSWER)
+    firsts = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(frugal_group(lambda t, a: _first_places(t, a, buckets)), FIRSTS)
+    spans = firsts.groupBy("bucket").applyInArrow(frugal_group(_repeats), SPAN)
     schema = T.StructType([T.StructField("row", docs.select(keep).schema)] + T.StructType.fromDDL("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary").fields)
-    return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(lambda t, s: _cut(t, s, characters), schema)
+    return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(frugal_group(lambda t, s: _cut(t, s, characters)), schema)
