@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import checkpointed, prepare, text_of
+from ._runtime import checkpointed, frugal, frugal_group, prepare, text_of
 from ._vocab import PartWise, packed, rank_encoding
 
 GROUP = 30_000
@@ -130,13 +130,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=["doc_id", *names])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, end_id: int = 2, capacities: Capacities = Capacities(), weights: Weights = Weights(), rule: str = "norm", group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of every document.
 
-    Null text is empty and packs its end id. Repeated rows are packed as often as given; ids may be null;
+    Null text is empty and packs its end id. Repeated rows are packed as often as given, in groups by the task
+    that read them as well; ids may be null; a very long text is encoded by one task, as a whole;
     other columns are ignored. Sequences have up to ``capacities.tokens`` tokens; those of whole pieces have
     ids from 0, those that were packed have ids below 0. An empty table gives no rows.
     """
@@ -154,6 +155,6 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, ranks_path: str, patt
         ids = -1 - (which + (key[0].as_py() << 32))
         return table.append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = short.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = short.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
     columns = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return whole.unionByName(dealt.groupBy("part").applyInArrow(run, columns))
+    return whole.unionByName(dealt.groupBy("part").applyInArrow(frugal_group(run), columns))
