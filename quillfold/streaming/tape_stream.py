@@ -145,59 +145,100 @@ class TapeStreamReader(SimpleDataSourceStreamReader):
 class CellsFold:
     """Cells and caps kept in a folder, one version for each batch; a batch that was folded already is skipped.
 
-    A version is written whole before the pointer to it moves, so a batch is applied once whatever fails. The facts
-    are the pointer and come last, after the caps and the position of the last cap period tick.
+    A version has the batch's own cells only; a cell's state is its row in the latest version that has one. Every
+    ``MERGED`` versions one is written with all cells, and those before it go when the next batch comes. A version is
+    whole before the pointer to it stands, so a batch is applied once whatever fails: the facts are the pointer and come
+    last, after the caps and the mark, which has the position of the last cap period tick and the version to read from.
     """
 
+    MERGED = 16
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def _path(self, *parts):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *map(str, parts)]))
+
     def _versions(self) -> list[int]:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
+        path = self._path()
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-        done = [int(n) for n in names if n.isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/facts/_SUCCESS"))]
-        return sorted(done)
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._path(n, "facts", "_SUCCESS")))
 
-    def last(self) -> DataFrame | None:
-        """The latest fact of each cell as of the last batch, with opened_ns and pos_last."""
-        return self._last("facts")
+    def _read(self, version: int, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{version}/{part}")
 
-    def _last(self, part: str) -> DataFrame | None:
+    def _since(self) -> list[int]:
+        """The versions that make up the state."""
         found = self._versions()
-        return self.spark.read.parquet(f"{self.folder}/{found[-1]}/{part}") if found else None
+        return [v for v in found if v >= self._read(found[-1], "mark").first()["base"]] if found else []
+
+    def last(self) -> DataFrame | None:
+        """The latest fact of each cell as of the last batch, with opened_ns and pos_last."""
+        return self._state(self._since())
+
+    def _state(self, versions: list[int]) -> DataFrame | None:
+        if not versions:
+            return None
+        rows = None
+        for v in versions:
+            own = self._read(v, "facts").withColumn("_version", F.lit(v))
+            rows = own if rows is None else rows.unionByName(own)
+        if len(versions) == 1:
+            return rows.drop("_version")
+        columns = [c for c in rows.columns if c not in ("cell", "_version")]
+        return rows.groupBy("cell").agg(F.max_by(F.struct(*columns), "_version").alias("r")).select("cell", "r.*")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """For foreachBatch, over a stream of tape rows."""
-        found = self._versions()
-        if found and batch_id <= found[-1]:
+        since = self._since()
+        if since and batch_id <= since[-1]:
             return
+        self._prune(since)
+        mark = self._read(since[-1], "mark").first() if since else None
         rows = batch.where("scan_reason is null")
         facts = state.delivered_once(state.facts_of(rows))
-        facts = facts.select("pos", "idx", "t_epoch_ns", "cell", "cls", "source_pos", "amount_minor", "due_ns", "state", "flags", F.col("t_epoch_ns").alias("opened_ns"), F.col("pos").alias("pos_last"), F.lit(True).alias("fresh"))
-        old = self.last()
-        if old is not None:
+        facts = facts.select("pos", "idx", "t_epoch_ns", "cell", "cls", "source_pos", "amount_minor", "due_ns", "state", "flags", F.col("t_epoch_ns").alias("opened_ns"), F.col("pos").alias("pos_last"), F.lit(True).alias("fresh")).persist()
+        whole = self._state(since)
+        if whole is not None:
+            touched = facts.select("cell").distinct()
+            old = whole.join(touched, "cell", "left_semi")
             # Redelivered positions: those at or below what a cell has seen.
             seen = old.select(F.col("cell").alias("_c"), F.col("pos_last").alias("_seen"))
-            facts = facts.join(seen, F.col("cell") == F.col("_c"), "left").where("_seen is null or pos > _seen").drop("_c", "_seen")
-            facts = old.withColumn("fresh", F.lit(False)).select(facts.columns).unionByName(facts)
-        judged = state.replayed(facts).persist()
+            new = facts.join(seen, F.col("cell") == F.col("_c"), "left").where("_seen is null or pos > _seen").drop("_c", "_seen")
+            judged = old.withColumn("fresh", F.lit(False)).select(facts.columns).unionByName(new)
+        else:
+            judged = facts
+        judged = state.replayed(judged).persist()
         order = F.struct("pos", "idx")
         applied = F.when(F.col("verdict") == "applied", order)
         row = F.struct("pos", "idx", "t_epoch_ns", "cls", "source_pos", "amount_minor", "due_ns", "state", "flags")
-        new = judged.groupBy("cell").agg(F.max_by(row, applied).alias("r"), F.min_by("opened_ns", order).alias("opened_ns"), F.max("pos_last").alias("pos_last")).select("cell", "r.*", "opened_ns", "pos_last")
-        before = self._last("mark").first()["last_tick"] if old is not None else -1
+        latest = judged.groupBy("cell").agg(F.max_by(row, applied).alias("r"), F.min_by("opened_ns", order).alias("opened_ns"), F.max("pos_last").alias("pos_last")).select("cell", "r.*", "opened_ns", "pos_last")
+        before = mark["last_tick"] if mark else -1
         tick = max(before, state.last_cap_tick(rows))
         # A cell's last fact stands for what it added before; only the batch's own facts add to it.
         caps = state.increases(judged).where("fresh").where(F.col("pos") > tick).select("cls", F.col("increase").alias("cap_used"))
-        if old is not None and tick == before:
-            caps = self.caps().unionByName(caps)
-        caps.groupBy("cls").agg(F.sum("cap_used").alias("cap_used")).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/caps")
-        self.spark.range(1).select(F.lit(tick).cast("long").alias("last_tick")).write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/mark")
-        new.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/facts")
+        if mark and tick == before:
+            caps = self._read(since[-1], "caps").unionByName(caps)
+        merge = not since or len(since) >= self.MERGED
+        if merge and whole is not None:
+            latest = whole.join(touched, "cell", "left_anti").unionByName(latest)
+        base = batch_id if merge else mark["base"]
+        put = lambda df, part: df.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}/{part}")
+        put(caps.groupBy("cls").agg(F.sum("cap_used").alias("cap_used")), "caps")
+        put(self.spark.range(1).select(F.lit(tick).cast("long").alias("last_tick"), F.lit(base).cast("long").alias("base")), "mark")
+        put(latest, "facts")
         judged.unpersist()
+        facts.unpersist()
+
+    def _prune(self, since: list[int]) -> None:
+        """Versions before the merged one that the state begins with."""
+        for v in self._versions():
+            if since and v < since[0]:
+                path = self._path(v)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def cells(self) -> DataFrame:
         last = self.last()
@@ -205,7 +246,7 @@ class CellsFold:
 
     def caps(self) -> DataFrame:
         """Exposure used by class since the last cap period tick."""
-        return self._last("caps")
+        return self._read(self._versions()[-1], "caps")
 
 
 def follow(spark: SparkSession, folder: str) -> DataFrame:

@@ -166,6 +166,22 @@ def test_caps_are_kept_batch_by_batch(spark, tmp_path):
     assert {x.cls: x.cap_used for x in fold.caps().collect()} == dict(t.cap_used) and sum(t.cap_used.values()) > 0
 
 
+def test_versions_are_merged_and_go(spark, tmp_path, monkeypatch):
+    """Versions hold their own batch's cells; merged now and then, the state is that of the whole, and old versions are gone."""
+    monkeypatch.setattr(CellsFold, "MERGED", 2)
+    r = random.Random(5)
+    t = transactor(tmp_path / "led")
+    for i in range(30):
+        t.write(Request("c", str(i), [fact(str(r.randrange(9)), r.randrange(1000), r.randrange(1, 40))]))
+    tape, fold, sizes = Ledger(spark, str(tmp_path / "led")).tape(), CellsFold(spark, str(tmp_path / "fold")), []
+    for batch_id, low in enumerate(range(0, 36, 6)):
+        fold.apply(tape.where(f"pos between {low} and {low + 5}"), batch_id)
+        sizes.append(fold._read(batch_id, "facts").count())
+        want = {(int(c.cell), c.amount_minor, c.pos_last) for c in state.rebuild(tape, low + 5)[0].collect()}
+        assert {(int(c.cell), c.amount_minor, c.pos_last) for c in fold.cells().collect()} == want
+    assert min(sizes[1:]) < max(sizes) and 0 not in fold._versions() and len(fold._versions()) <= 4
+
+
 def test_snapshot_and_tail_give_the_whole(spark, tmp_path):
     r = random.Random(5)
     t = transactor(tmp_path / "led")
