@@ -9,6 +9,7 @@ from quillfold.functions.convert import cents
 from quillfold.functions.expr import CompileError, compile_text
 from quillfold.functions.hashing import blake2b, cell_id_column, row_digest
 from quillfold.functions.jsonlines import base64_strict_column, invalid_at
+from quillfold.functions.wire import REQUEST, RESPONSE, decoded, encoded
 from quillfold.operators import enrich, state, verify
 from quillfold.plans import snapshot
 from quillfold.plans.ledgers import EVENTS_SQL, LINES, SEGMENT, STRETCH, damaged, event_lines, generated_bodies
@@ -307,6 +308,39 @@ def blake2b_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("keyed_by_text"), F.length("h").alias("width"))
 
 
+# -- requests and responses
+
+_CALL = "CASE event_id % 4 WHEN 0 THEN 'write' WHEN 1 THEN 'tick' WHEN 2 THEN 'health' ELSE 'head' END"
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce("props", F.lit("")).alias("body"), F.expr(_CALL).alias("call"), F.concat(F.lit('seat "'), F.col("user_id").cast("string"), F.lit('"\\\n')).alias("by"), F.col("event_type").alias("arg"))
+    return e.withColumn("body", F.when(F.col("event_id") % 4 == 0, F.col("body")).otherwise(F.lit("")))
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_id % 7 < 4 THEN {_CALL} END AS call, CASE WHEN event_id % 7 < 4 THEN 'seat "' || user_id || '"' || chr(92) || chr(10) END AS by, CASE WHEN event_id % 7 < 4 THEN event_type END AS arg,
+  CASE WHEN event_id % 7 < 4 THEN CASE WHEN event_id % 4 = 0 THEN coalesce(props, '') ELSE '' END END AS body FROM events""")
+def wire_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as request lines, written and read again; three in seven are hurt and refused whole."""
+    rows = _requests(spark, sf_dir)
+    line = encoded(REQUEST, {n: F.col(n) for n, _ in REQUEST})
+    kind = F.col("event_id") % 7
+    hurt = F.when(kind == 4, F.concat(line, F.lit(" "))).when(kind == 5, F.replace(line, F.lit(',"by":'), F.lit(',"By":'))).when(kind == 6, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    return rows.select("event_id", decoded(REQUEST, hurt).alias("r")).select("event_id", "r.*")
+
+
+@query("""SELECT event_id, event_id % 2 = 0 AS ok, CASE WHEN event_id % 5 < 4 THEN event_id * 1000003 END AS pos, CASE WHEN event_id % 5 < 4 THEN md5(event_type) END AS h, CASE WHEN event_id % 5 < 4 THEN event_type END AS fault FROM events WHERE event_id % 5 < 4
+  UNION ALL SELECT event_id, NULL, NULL, NULL, NULL FROM events WHERE event_id % 5 = 4""")
+def wire_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response lines; those whose position has a leading zero are refused."""
+    e = table(spark, sf_dir, "events")
+    blank = F.lit("")
+    line = encoded(RESPONSE, {"ok": F.col("event_id") % 2 == 0, "pos": F.col("event_id") * 1000003, "h": F.md5(F.col("event_type").cast("binary")), "refusal": blank, "constraint_id": blank, "fault": F.col("event_type"), "info": blank})
+    hurt = F.when(F.col("event_id") % 5 == 4, F.replace(line, F.lit('"pos":'), F.lit('"pos":0'))).otherwise(line)
+    return e.select("event_id", decoded(RESPONSE, hurt).alias("r")).select("event_id", "r.ok", F.col("r.pos").cast("long").alias("pos"), "r.h", "r.fault")
+
+
 # -- declarations
 
 _TEXTS = {

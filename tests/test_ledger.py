@@ -4,12 +4,13 @@ import pytest
 
 from quillfold.functions.hashing import blake2b_hex, cell_id
 from quillfold.functions.jsonlines import Members, Refused, Text, base64_strict, dumps, first_invalid_utf8, scan_string, scan_u64
+from quillfold.functions.wire import REQUEST, RESPONSE, decode, encode
 from quillfold.operators import verify
 from quillfold.plans import snapshot
 from quillfold.plans.ledgers import generated_bodies
 from quillfold.plans.views import Ledger
 from quillfold.sources.tape import BadRow, dump, read_strict, scan_row, scan_tape, segment_name
-from quillfold.sources.writer import LedgerBroken, LedgerWriter, build_row, folder_digest, generate, generated_body, segments
+from quillfold.sources.writer import LedgerBroken, LedgerWriter, build_row, folder_digest, generate, generated_body, replace_file, segments
 from quillfold.streaming.tape_stream import TapePartitionReader, TapeStreamReader, TapeStreamSource
 
 
@@ -243,3 +244,26 @@ def test_segments_are_streamed_by_tasks(spark, tmp_path):
     reader = TapePartitionReader(folder)
     parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
     assert [p.first for p in parts] == segments(folder) and reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
+
+
+def test_pointer_files_are_replaced_whole(tmp_path):
+    path = str(tmp_path / "pointer")
+    replace_file(path, b"one")
+    replace_file(path, b"two, which is longer")
+    assert open(path, "rb").read() == b"two, which is longer" and os.listdir(tmp_path) == ["pointer"]
+    with pytest.raises(OSError):
+        replace_file(str(tmp_path / "nowhere" / "x"), b"")
+    os.makedirs(tmp_path / "folder")
+    with pytest.raises(OSError):
+        replace_file(str(tmp_path / "folder"), b"")
+    assert sorted(os.listdir(tmp_path)) == ["folder", "pointer"]
+
+
+@pytest.mark.parametrize(("layout", "values"), [(REQUEST, {"call": "write", "by": 'a"\\', "arg": "\n", "body": '{"x":[1,"}"]}'}), (REQUEST, {"call": "head"}), (RESPONSE, {"ok": True, "pos": 2**64 - 1, "h": "ab", "info": "\u2713"})])
+def test_lines_of_the_protocol_are_strict(layout, values):
+    line = encode(layout, values)
+    found = decode(layout, line)
+    assert {k: v for k, v in found.items() if v} == values
+    for bad in (line + b" ", line[:-1], b" " + line, line.replace(b'":', b'": ', 1), line.replace(b'"call"', b'"Call"').replace(b'"ok":', b'"OK":'), b"", b"{}"):
+        assert decode(layout, bad) is None
+    assert decode(RESPONSE, encode(RESPONSE, {}).replace(b'"pos":0', b'"pos":18446744073709551616')) is None
