@@ -331,6 +331,13 @@ def lattice_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cell", "f_slot", "new_slot", field.crossing_ns(F.col("due_ns"), F.col("f_slot"), DIMS).alias("crossing_ns"))
 
 
+@query(f"WITH {_PLACED} SELECT fs AS seg, fc AS cls, CAST(count(DISTINCT slot) AS BIGINT) AS slots_in_use, CAST(8 AS BIGINT) AS slots, count(*) AS cells FROM l GROUP BY ALL")
+def lattice_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bucket is there, used or not, and every cell in one."""
+    rows = field.dense(field.projection(order_cells(spark, sf_dir), NOW, DIMS), DIMS)
+    return rows.groupBy("seg", "cls").agg(F.count_if(F.col("count") > 0).alias("slots_in_use"), F.count(F.lit(1)).alias("slots"), F.call_function("div", F.sum("count"), F.lit(65536)).alias("cells")).where("cells > 0")
+
+
 @query(f"""
 WITH {_PLACED}, g AS (SELECT fs, fc, slot, CAST(sum(amount_minor) * 65536 AS BIGINT) AS load FROM l GROUP BY ALL)
 SELECT (SELECT CAST(sum(amount_minor) * 65536 AS BIGINT) FROM k WHERE state <= 2) AS table_fix, CAST(sum(load) AS BIGINT) AS lattice_fix FROM g""")

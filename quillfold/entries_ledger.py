@@ -10,7 +10,9 @@ from quillfold.functions.expr import CompileError, compile_text
 from quillfold.functions.hashing import blake2b, cell_id_column, row_digest
 from quillfold.functions.jsonlines import base64_strict_column, invalid_at
 from quillfold.functions.wire import REQUEST, RESPONSE, decoded, encoded
-from quillfold.operators import enrich, state, verify
+from quillfold.operators import admit, enrich, state, verify
+from quillfold.operators.rules import ClassDef, ClassMap, RevRule
+from quillfold.operators.transactor import attempt_digest_column
 from quillfold.plans import snapshot
 from quillfold.plans.ledgers import EVENTS_SQL, LINES, SEGMENT, STRETCH, damaged, event_lines, generated_bodies
 from quillfold.plans.tables import FACTS_SQL, facts, table
@@ -341,6 +343,30 @@ def wire_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", decoded(RESPONSE, hurt).alias("r")).select("event_id", "r.ok", F.col("r.pos").cast("long").alias("pos"), "r.h", "r.fault")
 
 
+_ASKED = """SELECT event_id AS seq, CASE WHEN event_id % 41 = 0 THEN '' ELSE 'c' || (user_id % 9) END AS client_id, 'r' || (event_id // 30) AS request_id, event_id % 1100 AS n_facts, event_id + event_id % 7 - 5 AS basis_pos, event_id - 1 AS committed FROM events"""
+
+
+@query(f"""
+WITH q AS ({_ASKED}), a AS (SELECT *, n_facts > 1000 AS large, client_id = '' AS nameless, basis_pos > committed AS stale FROM q),
+b AS (SELECT *, coalesce(sum(CASE WHEN large OR nameless OR stale THEN 0 ELSE 1 END) OVER (PARTITION BY client_id, request_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM a)
+SELECT seq, CASE WHEN large THEN 'too_large' WHEN nameless THEN 'malformed' WHEN done > 0 THEN 'duplicate_request' WHEN stale THEN 'stale_basis' END AS fault FROM b""")
+def request_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with a request before its facts are judged, in the order of the rules."""
+    asked = spark.sql(_ASKED.replace("event_id // 30", "event_id div 30").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return admit.request_faults(asked).select("seq", "fault")
+
+
+@query(f"WITH {FACTS_SQL} SELECT pos, true AS told_apart FROM f")
+def attempt_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts have one digest exactly if they are the same attempt: who, which request and which facts, but not the amounts."""
+    f = facts(spark, sf_dir)
+    who = [F.concat(F.lit("c"), (F.col("cell") % 5).cast("string")), F.concat(F.lit("r"), (F.col("pos") % 50).cast("string")), F.lit("seat:a"), F.lit("events"), F.col("table"), F.col("cell").cast("string"), F.col("op"), (F.col("source_pos") % 3).cast("string")]
+    rows = f.select("pos", attempt_digest_column(*who).alias("digest"), F.to_json(F.array(*who)).alias("attempt"))
+    one = rows.groupBy("digest").agg(F.min("attempt").alias("a"), F.max("attempt").alias("b"))
+    other = rows.groupBy("attempt").agg(F.min("digest").alias("c"), F.max("digest").alias("d"))
+    return rows.join(one, "digest").join(other, "attempt").select("pos", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("told_apart"))
+
+
 # -- declarations
 
 _TEXTS = {
@@ -388,6 +414,31 @@ def enrich_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "name string, reason string")
 
 
+_PROGRAMS = {"state == 1": ("state", 0), "state  ==1": ("state", 0), "(state) == 1": ("state", 0), "state == 2": ("state", 3), "due_ns > 0 && amount_minor < 5": ("amount_minor,due_ns", 4), "amount_minor < 5 && due_ns > 0": ("amount_minor,due_ns", 5), "true": ("", 6)}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{reads}', {same})" for i, (reads, same) in enumerate(_PROGRAMS.values())) + ") AS t(n, reads, same_as)")
+def constraint_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What programs read, and the first that each has its hash from: spelling is nothing, order is."""
+    programs = [compile_text(t) for t in _PROGRAMS]
+    hashes = [p.program_hash for p in programs]
+    return spark.createDataFrame([(i, ",".join(sorted(p.reads)), hashes.index(p.program_hash)) for i, p in enumerate(programs)], "n int, reads string, same_as int")
+
+
+_PIN_BASE = dict(rules=(RevRule("*", "*", "irreversible"), RevRule("a", "insert", "reversible_by_inverse")), cap_minor_per_period=5, quorum_n=1, quorum_m=2)
+_PINNED = {
+    "same": ({}, {}, False), "spelling": ({}, {"c": "state  == 1"}, False), "meaning": ({}, {"c": "state == 2"}, True), "cap": ({"cap_minor_per_period": 6}, {}, True), "quorum": ({"quorum_n": 2}, {}, True),
+    "order": ({"rules": _PIN_BASE["rules"][::-1]}, {}, True), "window": ({"rules": (RevRule("*", "*", "irreversible", 9), _PIN_BASE["rules"][1])}, {}, True), "flags": ({"flags": 1}, {}, True),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(m).lower()})" for k, (_, _, m) in _PINNED.items()) + ") AS t(change, moved)")
+def declaration_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which changes of a class move its pin, and so that of the map."""
+    made = lambda more, checks: ClassMap().add(ClassDef.of(1, "x", {"c": "state == 1"} | checks, **_PIN_BASE | more)).pin()
+    return spark.createDataFrame([(k, made(more, checks) != made({}, {})) for k, (more, checks, _) in _PINNED.items()], "change string, moved boolean")
+
+
 # -- set operations, late facts
 
 

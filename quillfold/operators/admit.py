@@ -18,6 +18,20 @@ def first_requests(requests: DataFrame, order: str = "seq") -> DataFrame:
     return requests.withColumn("fault", F.when(nth > 1, F.lit("duplicate_request")))
 
 
+def request_faults(requests: DataFrame, max_facts: int = 1000, order: str = "seq") -> DataFrame:
+    """Adds ``fault``, by the first rule that a request breaks before its facts are looked at; null if it breaks none.
+
+    Requests: client_id, request_id, n_facts, basis_pos, and committed, the last public position when it came. A
+    request is a duplicate of one with its ids that got as far as being judged.
+    """
+    large, nameless = F.col("n_facts") > max_facts, (F.col("client_id") == "") | (F.col("request_id") == "")
+    stale = F.col("basis_pos") > F.col("committed")
+    answered = (~large & ~nameless & ~stale).cast("int")
+    before = Window.partitionBy("client_id", "request_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    again = F.coalesce(F.sum(answered).over(before), F.lit(0)) > 0
+    return requests.withColumn("fault", F.when(large, "too_large").when(nameless, "malformed").when(again, "duplicate_request").when(stale, "stale_basis"))
+
+
 def judged_facts(facts: DataFrame, cells: DataFrame, class_map: ClassMap, caps: DataFrame | None = None, seam_hash: str = "") -> DataFrame:
     """Facts with ``reason`` and ``constraint_id`` (null: admitted) and ``dup`` (an unchanged source position: nothing to do).
 

@@ -9,7 +9,7 @@ from quillfold.operators.blocks import next_above, running_last, running_max
 from quillfold.operators.enrich import BackFill, DeclarationRefused, EnrichedColumn, IngestDef, SideJoin, compile_ingest
 from quillfold.operators.ordered import coalesced_refusals, token_bucket
 from quillfold.operators.rules import ClassDef, RevRule
-from quillfold.operators.transactor import Config, Fact, Request, Transactor
+from quillfold.operators.transactor import Config, Fact, Request, Transactor, attempt_digest, attempt_digest_column
 from quillfold.operators.rules import ClassMap
 from quillfold.functions.convert import epoch_ns, minor_units
 from quillfold.plans import snapshot
@@ -350,3 +350,10 @@ def test_blocks_of_designed_folds_are_nothing_to_see(spark):
     assert sorted(map(str, designed.nearest(vectors, some).collect())) == sorted(map(str, designed.nearest(vectors, some, cell_bytes=200).collect()))
     graded = spark.createDataFrame([(i, i + 1, 7, 1, i % 5, "right" if i % 3 else "wrong", i * 10) for i in range(50)], "seq long, pos long, cell long, cls long, verb int, verdict string, graded_at_ns long")
     assert grades.grades_digest(graded, 16) == grades.grades_digest(graded.repartition(5, "verdict"), 16) != grades.grades_digest(graded.where("seq <> 30"), 16)
+
+
+def test_attempts_digested_by_column_are_the_transactors(spark):
+    request = Request("c", "r", [fact("k", 5, 7)], by="seat:a")
+    f = request.facts[0]
+    parts = [request.client_id, request.request_id, request.by, f.source, f.table, f.key, f.op, str(f.source_pos)]
+    assert spark.range(1).select(attempt_digest_column(*map(F.lit, parts))).first()[0] == attempt_digest(request)
