@@ -52,7 +52,15 @@ def breaks(tape: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def report(tape: DataFrame, expected_head: str | None = None) -> dict:
-    """Counts, ends and problems; ``ok`` if nothing is broken. A torn tail of the last segment is told, not a break."""
+    """Counts, ends and problems; ``ok`` if nothing is broken. A torn tail of the last segment is told, not a break. The ledger is scanned once."""
+    tape = tape.persist()
+    try:
+        return _report(tape, expected_head)
+    finally:
+        tape.unpersist()
+
+
+def _report(tape: DataFrame, expected_head: str | None) -> dict:
     good = F.col("scan_reason").isNull()
     last = tape.agg(F.max("seg_first_pos")).first()[0]
     row = tape.agg(
