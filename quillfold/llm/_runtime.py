@@ -20,7 +20,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 
 #: Bytes of keys and values that a worker's mapping keeps before it starts anew.
-KEEP_BYTES = 16 << 20
+KEEP_BYTES = 8 << 20
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
@@ -88,7 +88,7 @@ def frugal_group(run: Callable) -> Callable:
 
 
 #: Rows that go to a Python worker together; texts are long, so Spark's own number would be hundreds of MB.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:

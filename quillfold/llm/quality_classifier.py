@@ -39,9 +39,9 @@ SAMPLE = 4000
 VOCABULARY, HASHED = 30_000, 4096
 DIMENSION, NONZERO, NEAR = 64, 6, 2
 #: Tokens whose pairs are sorted at once, and rows of context sums that go together.
-PAIRED, BLOCK = 1 << 20, 64
-#: Distinct tokens that a task keeps before it starts anew: some 50 MB. Characters that are parsed together.
-KEEP, TOGETHER = 300_000, 1 << 17
+PAIRED, BLOCK = 1 << 19, 64
+#: Distinct tokens that a task keeps before it starts anew: some 30 MB. Characters that are parsed together.
+KEEP, TOGETHER = 200_000, 1 << 16
 #: Buckets of a doubling of the frequency.
 STEPS = 64
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 3e-3
