@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfold.llm._runtime import shared_folder
-from quillfold.llm.exact_dedup import exact_dedup, normalised, sha256_hex
+from quillfold.llm.exact_dedup import exact_dedup
 from quillfold.llm.near_dedup import near_dedup
 from quillfold.llm.packing import best_fit_packing
 from quillfold.llm.quality_classifier import THRESHOLD, fit, with_scores
@@ -28,9 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id stays."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text"))
-    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (sha256_hex(normalised(docs["text"])) == gone["_gone_text"])
-    return docs.join(gone, same, "left_anti")
+    return exact_dedup(docs, keep=docs.columns).where("kept").select("row.*")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,13 +63,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _dropped(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each but the last written to the shared folder and read again."""
+    """All stages, each but the last written to the shared folder and read again. What the next stage has read and written goes; what the last one reads stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{number}-{name}")
-            docs = spark.read.parquet(f"{folder}/{number}-{name}")
+            here = f"{folder}/{number}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if before is not None:
+                _dropped(spark, before)
+            before = here
     return docs
