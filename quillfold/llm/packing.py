@@ -11,9 +11,10 @@ another; each group leaves a few bins underfilled, whatever the size of the corp
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -88,13 +89,19 @@ class DocumentIds:
     """Ids of a ``tokenizers`` file, by the same vocabulary as ranks; a text with a special token's string goes to ``tokenizers`` itself."""
 
     def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = tokenizer_path
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         encode = rank_encoding(ranks_path, pattern).encode_ordinary
         self.parts = PartWise(lambda part: packed(encode(part)))
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded for texts with a special token's string only."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
