@@ -39,8 +39,8 @@ LENGTH = 100
 GRAM = 50
 WINDOW = LENGTH - GRAM + 1
 #: Bytes of text in a batch, and for each bucket, on average.
-BATCH_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
 SEGMENT = 1 << 20
 MARGIN = 2 * LENGTH
 
