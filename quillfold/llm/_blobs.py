@@ -43,17 +43,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Rising 64-bit integers as differences of six bytes; those that need more follow with their places."""
+    """Rising 64-bit integers as differences, of as many bytes as eight times their mean needs; those that need more follow with their places."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    large = np.flatnonzero(steps >> np.uint64(48))
-    head = np.array([len(keys), len(large)], "<u8").tobytes()
-    return head + pack(steps, 6) + large.astype("<u8").tobytes() + steps[large].astype("<u8").tobytes()
+    mean = int(keys[-1]) // len(keys) if len(keys) else 0
+    width = min(8, -(-(8 * mean + 1).bit_length() // 8))
+    large = np.flatnonzero(steps >> np.uint64(8 * width)) if width < 8 else np.zeros(0, np.int64)
+    return np.array([len(keys), len(large), width], "<u4").tobytes() + pack(steps, width) + large.astype("<u8").tobytes() + steps[large].astype("<u8").tobytes()
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    n, m = np.frombuffer(blob, "<u8", 2).tolist()
-    steps = unpack(blob[16 : 16 + 6 * n], 6)
-    large = np.frombuffer(blob, "<u8", 2 * m, 16 + 6 * n)
+    n, m, width = np.frombuffer(blob, "<u4", 3).tolist()
+    steps = unpack(blob[12 : 12 + width * n], width)
+    large = np.frombuffer(blob, "<u8", 2 * m, 12 + width * n)
     steps[large[:m].astype(np.int64)] = large[m:]
     return np.cumsum(steps, dtype=np.uint64)
 

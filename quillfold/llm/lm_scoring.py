@@ -61,12 +61,14 @@ class Tokens:
         before[ends[:-1]] = _START
         self.sizes, self.doc = sizes, np.repeat(np.arange(len(texts)), sizes)
         self.words, place = np.unique(np.append(tokens, _START), return_inverse=True)
+        place = place.astype(np.int32)
         self.place, start = place[:-1], place[-1]
         self.before = np.append(start, self.place[:-1])
         self.before[ends[:-1]] = start
         self.before = self.before[: len(tokens)]
         self.starts, self.texts = start, len(texts)
-        self.bigrams, self.pair = np.unique(mixed(before * _FIRST + mixed(tokens * _SECOND)), return_inverse=True)
+        self.bigrams, pair = np.unique(mixed(before * _FIRST + mixed(tokens * _SECOND)), return_inverse=True)
+        self.pair = pair.astype(np.int32)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         words = np.bincount(self.place, minlength=len(self.words))
@@ -108,7 +110,8 @@ def _asked(rows: pa.Table, buckets: int) -> pa.Table:
         for i, b in enumerate(used.tolist()):
             at = order[cuts[i] : cuts[i + 1]]
             own = parts.setdefault(b, [pack_sorted(keys[:0]), none, pack_sorted(keys[:0]), none])
-            own[2 * k : 2 * k + 2] = pack_sorted(keys[at]), none if batch % 3 == HELD else pack_counts(counts[at])
+            # In a bucket a key is told by its quotient.
+            own[2 * k : 2 * k + 2] = pack_sorted(keys[at] // np.uint64(buckets)), none if batch % 3 == HELD else pack_counts(counts[at])
     return _arrow(ASKED, [(batch, b, words, *n, bigrams, *m) for b, (words, n, bigrams, m) in parts.items()])
 
 
@@ -122,7 +125,7 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray], batches: list[int])
     return distinct, place, both.astype(np.int64), kept.astype(np.int64)
 
 
-def _answers(rows: pa.Table) -> pa.Table:
+def _answers(rows: pa.Table, buckets: int) -> pa.Table:
     """For each batch of a bucket its counts; the bucket's totals stand in a row with a batch below 0."""
     data = rows.to_pydict()
     batches, bucket = data["batch"], data["bucket"][0]
@@ -131,7 +134,7 @@ def _answers(rows: pa.Table) -> pa.Table:
     pairs = [unpack_sorted(x) for x in data["bigrams"]]
     distinct, word_at, word_n, word_kept = _added(words, counted("word"), batches)
     _, pair_at, pair_n, pair_kept = _added(pairs, counted("bigram"), batches)
-    own = distinct != _START
+    own = distinct != _START // np.uint64(buckets) if bucket == int(_START) % buckets else np.ones(len(distinct), bool)
     totals = [int(x) for x in (word_n[own].sum(), (word_n[own] > 0).sum(), word_kept[own].sum(), (word_kept[own] > 0).sum())]
     out = [(-1 - bucket % CONTEXTS, bucket, np.array(totals, "<i8").tobytes(), *[b""] * 7)]
     i = j = 0
@@ -274,7 +277,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     rows = docs.select((F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), count) * 3 + kind).cast("long").alias("batch"), F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     by_batch = rows.groupBy("batch")
     asked = by_batch.applyInArrow(frugal_group(lambda t: _asked(t, buckets)), ASKED)
-    answers = asked.groupBy("bucket").applyInArrow(frugal_group(_answers), ANSWER)
+    answers = asked.groupBy("bucket").applyInArrow(frugal_group(lambda t: _answers(t, buckets)), ANSWER)
     own = answers.repartition(partitions(spark), "batch")
     cells = by_batch.cogroup(own.groupBy("batch")).applyInArrow(frugal_group(lambda t, a: _cells(t, a, buckets) if t.num_rows else _totals(a)), CELLS)
     table = cells.groupBy("context", "cell").agg(F.sum("n").alias("n"))
