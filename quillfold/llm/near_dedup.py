@@ -46,8 +46,8 @@ MARGIN = {BITS: 0.2, FINE: 0.17}
 LEADERS = 64
 #: A key is frequent in a batch from so many members on; then it goes to one of so many groups.
 FREQUENT, SALTS = 64, 64
-#: Documents whose keys are dealt together: some 7 MB.
-DEALT = 20_000
+#: Documents whose keys are dealt together: some 2 MB.
+DEALT = 5_000
 #: Partners of a leader whose sets one task reads in a row.
 PARTNERS = 500
 #: Members of a block in the second round, and bytes of their sets on average.
@@ -271,7 +271,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (a, b, many) whose full sets are similar enough. ``many`` marks the partners of leaders of large groups: they are salted."""
-    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.max("many").alias("many")))
+    pairs = checkpointed(pairs.groupBy("a", "b").agg(F.max("many").alias("many")), True)
     wanted = pairs.select("b").union(pairs.select("a")).distinct().withColumnRenamed("b", "doc_id")
     sets = texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("b"), "text").mapInArrow(frugal(_sets_of("b")), "b long, set binary")
     salted = pairs.select("a", "b", F.when(F.col("many") > 0, 1 + F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).alias("salt"))
@@ -280,7 +280,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     selves = count.select("a", "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
     rows = dealt.union(selves).join(sets, "b").select("a", "salt", "part", "b", "set")
     ordered = rows.repartition("a", "salt", "part").sortWithinPartitions("a", "salt", "part", F.col("a") != F.col("b"))
-    return checkpointed(ordered.mapInArrow(frugal(lambda it: _confirmed(it, percent)), "a long, b long"))
+    return checkpointed(ordered.mapInArrow(frugal(lambda it: _confirmed(it, percent)), "a long, b long"), True)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, groups: int | None = None, leaders: int = LEADERS, frequent: int = FREQUENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -315,7 +315,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = keyed.join(opened, "key")
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     chiefs = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("chief"))
-    gathered = checkpointed(members.join(chiefs, "key").select("chief", "rep", "component").distinct())
+    gathered = checkpointed(members.join(chiefs, "key").select("chief", "rep", "component").distinct(), True)
     gathered = gathered.withColumns({"query": F.col("component") != F.col("chief"), "salt": F.pmod(F.xxhash64("rep"), F.lit(CHIEF_SALTS))}).join(reps.drop("signature"), "rep")
     sets = texts.join(gathered.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(frugal(_sets_of("rep")), "rep long, set binary")
     share = lambda c: F.coalesce(F.sum(F.when(c, F.greatest(F.lit(1 / block), F.col("n") * (8 / block_bytes)))), F.lit(0.0))
@@ -331,7 +331,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = F.transform(F.filter(every("blocks"), lambda b: F.col("query") & (b != F.col("b"))), lambda b: place(b, F.col("q"), F.lit(False), F.lit(True)))
     dealt = homes.select("chief", "rep", "component", "fine", "keys", "set", "query", F.explode(F.concat(answered, asked)).alias("place")).select("*", "place.*").drop("place")
     again = dealt.groupBy("chief", "block", "query_block").applyInArrow(frugal_group(lambda t: _across(t, least_fine, percent)), "a long, b long")
-    again = checkpointed(again)
+    again = checkpointed(again, True)
     if not again.isEmpty():
         found = components(links.union(again))
     classes = classes.select("digest", "rep")

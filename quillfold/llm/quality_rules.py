@@ -96,7 +96,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = checkpointed(document_measures(docs, id_col, text_col, host_col).withColumn("base_failed", failed))
-    hosts = checkpointed(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")))
+    hosts = checkpointed(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f")), True)
     total = hosts.agg(F.sum("n"), F.sum("f"), F.sum(F.col("f") * F.col("f") / F.col("n"))).first()
     n, f, squares = (float(x or 0) for x in total)
     mean = f / n if n else 0.0
