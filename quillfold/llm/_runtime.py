@@ -19,37 +19,40 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-#: Bytes of keys and values that a worker's mapping keeps before it starts anew.
-KEEP_BYTES = 8 << 20
+#: Bytes of keys and values that a worker's mapping keeps before it starts anew; of encoded tokens, which cost more to make.
+KEEP_BYTES, KEEP_ENCODED = 8 << 20, 44 << 20
+#: Bytes of an entry and a short value, without its key's own length.
+ENTRY = 190
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 class Kept(dict):
-    """A mapping that computes what is missing. It starts anew at ``KEEP_BYTES``, and is emptied when a task ends."""
+    """A mapping that computes what is missing. It starts anew at ``limit`` bytes, and is emptied when a task ends."""
 
     every: list[weakref.ref] = []
 
-    def __init__(self, make: Callable | None):
-        self.make, self.bytes = make, 0
+    def __init__(self, make: Callable | None, limit: int = KEEP_BYTES):
+        self.make, self.limit, self.left = make, limit, limit
         Kept.every.append(weakref.ref(self, Kept.every.remove))
 
     def clear(self) -> None:
         super().clear()
-        self.bytes = 0
+        self.left = self.limit
 
     def __missing__(self, key):
-        self.bound()
-        value = self.make(key)
-        self.put(key, value)
+        if self.left < 0:
+            self.clear()
+        self.left -= ENTRY if key.__class__ is int else ENTRY + len(key)
+        self[key] = value = self.make(key)
         return value
 
     def bound(self) -> None:
-        if self.bytes >= KEEP_BYTES:
+        if self.left < 0:
             self.clear()
 
     def put(self, key, value) -> None:
         self[key] = value
-        self.bytes += 100 + sys.getsizeof(key) + sys.getsizeof(value)
+        self.left -= ENTRY + len(key)
 
 
 def release() -> None:

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from ._runtime import Kept
+from ._runtime import KEEP_ENCODED, Kept
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +61,7 @@ class PartWise:
             return make(" " + chunk)
 
         self.make = make
-        self.spaced = Kept(spaced)
+        self.spaced = Kept(spaced, KEEP_ENCODED)
 
     def __call__(self, text: str) -> list:
         if not text:

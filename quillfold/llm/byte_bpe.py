@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import Kept, frugal, frugal_group, prepare, text_of
+from ._runtime import KEEP_ENCODED, Kept, frugal, frugal_group, prepare, text_of
 from ._vocab import packed, rank_encoding
 
 CHUNK = 8192
@@ -88,7 +88,7 @@ class ByteBpe:
     def __init__(self, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.encoding = rank_encoding(ranks_path, pattern)
         self.pattern = ChunkedPattern(pattern, chunk, overlap)
-        self.kept = Kept(lambda token: packed(self.encoding.encode_ordinary(token)))
+        self.kept = Kept(lambda token: packed(self.encoding.encode_ordinary(token)), KEEP_ENCODED)
         self.raw = Kept(self.encoding.decode_single_token_bytes)
 
     def encode(self, text: str) -> bytes:

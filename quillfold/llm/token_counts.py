@@ -19,7 +19,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from ._runtime import Kept
+from ._runtime import KEEP_ENCODED, Kept
 from ._vocab import read_ranks
 from .byte_bpe import _mapped
 
@@ -152,7 +152,7 @@ class TokenCounter:
         self.trie = UnigramTrie(ranks)
         self.vocabulary = ReversedVocabulary(ranks)
         self.findall = regex.compile(pattern).findall
-        self.known = Kept(None)
+        self.known = Kept(None, KEEP_ENCODED)
 
     def counts(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """Numbers of pre-tokens and of tokens of each text."""
