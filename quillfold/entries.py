@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from quillfold.operators import admit, designed, enrich, field, grades, ordered,
 from quillfold.operators.enrich import EnrichedColumn, IngestDef, SideJoin
 from quillfold.plans.tables import CELLS_SQL, FACTS_SQL, class_map, decision_log, facts, order_cells, table
 from quillfold.registry import ORACLE_SQL, QUERIES, query
+from quillfold.schema import INT64_MAX, INT64_MIN
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
@@ -342,9 +345,11 @@ def lattice_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {_PLACED}, g AS (SELECT fs, fc, slot, CAST(sum(amount_minor) * 65536 AS BIGINT) AS load FROM l GROUP BY ALL)
 SELECT (SELECT CAST(sum(amount_minor) * 65536 AS BIGINT) FROM k WHERE state <= 2) AS table_fix, CAST(sum(load) AS BIGINT) AS lattice_fix FROM g""")
 def lattice_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both totals, exact: longs as in the SQL, or decimals if one leaves 64 bits, where the SQL has no result."""
     cells_ = order_cells(spark, sf_dir)
-    one, other = field.conservation(cells_, field.projection(cells_, NOW, DIMS))
-    return spark.createDataFrame([(one, other)], "table_fix long, lattice_fix long")
+    totals = field.conservation(cells_, field.projection(cells_, NOW, DIMS))
+    kind, number = ("long", int) if all(INT64_MIN <= x <= INT64_MAX for x in totals) else ("decimal(38,0)", Decimal)
+    return spark.createDataFrame([tuple(map(number, totals))], f"table_fix {kind}, lattice_fix {kind}")
 
 
 @query(f"""

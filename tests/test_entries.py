@@ -37,6 +37,27 @@ def test_admission_state_grows_with_the_table(spark, tmp_path):
     assert any(x.dup or x.reason == "stale_source" for x in got)  # the state is met
 
 
+def test_conservation_of_totals_beyond_64_bits(spark, tmp_path):
+    """No bucket leaves 64 bits, their total may: longs as in the SQL up to the last one, exact decimals beyond."""
+    duckdb = pytest.importorskip("duckdb")
+    for n, total in enumerate((2**47 - 1, 2**47, 3 * 2**46, -(2**47), -(2**47) - 1)):
+        one = total // 2
+        rows = [(1, 0, "O", one / 100, "1-URGENT"), (2, 1, "P", (total - one) / 100, "5-LOW"), (3, 2, "F", 1e12, "1-URGENT")]  # the last doesn't contribute
+        frame = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+        frame.withColumn("o_orderdate", F.timestamp_seconds(F.lit(10**9))).coalesce(1).write.parquet(str(tmp_path / str(n) / "orders.parquet"))
+        got = __spark_entry__.queries()["lattice_conserved"](spark, str(tmp_path / str(n)))
+        fits = -(2**63) <= total * 65536 < 2**63
+        assert got.dtypes == [(c, "bigint" if fits else "decimal(38,0)") for c in ("table_fix", "lattice_fix")]
+        assert [tuple(map(int, r)) for r in got.collect()] == [(total * 65536,) * 2]
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/{n}/orders.parquet/*.parquet'")
+        if fits:
+            assert con.execute(__spark_entry__.oracle_sql()["lattice_conserved"]).fetchall() == [(total * 65536,) * 2]
+        else:
+            with pytest.raises(duckdb.ConversionException):
+                con.execute(__spark_entry__.oracle_sql()["lattice_conserved"]).fetchall()
+
+
 def test_ledger_queries_agree_with_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
